@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 
+def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -26,7 +32,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
