@@ -31,8 +31,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files
+
+    return token_files(common.table(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
