@@ -24,6 +24,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -38,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op7_source_mixing, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
