@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -30,6 +31,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _remainder(divisor: int) -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, toxicity
+
+    docs = common.table(spark, sf_dir, "documents")
+    labels = common.table(spark, sf_dir, "labels").filter(_remainder(3) != 1)
+    found = toxicity(docs, learn(docs, labels))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -44,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op7_source_mixing, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
