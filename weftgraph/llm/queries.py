@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scores import learn, scores
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = learn(docs.filter(_remainder(7) != 2), common.tokenizer_path("piece_bpe_32k.model"))
+    return scores(docs, model, _remainder(7) == 2)
+
+
 def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
@@ -58,7 +66,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dups, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_lattice_scores, op3_minhash_near_dups, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
