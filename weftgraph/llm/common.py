@@ -96,3 +96,11 @@ class Generations(dict):
             value = self.make(key)
         self[key] = value
         return value
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

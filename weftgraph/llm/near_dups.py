@@ -9,10 +9,13 @@ as the minimum over the windows ``pi[p], pi[p+1], ...`` of the places p.
 Candidates.  32 bands of 4 coordinates; a pair of similarity 0.8 shares none
 of them with probability 5e-8.  Texts with equal sets are one class before
 banding, so copies never meet in pairs.  In each bucket every class is paired
-with one pivot.  Buckets that still hold several components are then searched
-again: all pairs across components in buckets of at most ``SMALL`` classes,
-while larger ones are first split by a second and a third band, so that no
-step lists all pairs of a large group.
+with one pivot, in a second round (where several components are left in a
+bucket) with the class that has most bucket mates.  Classes that are still in
+buckets of several components are joined exactly by prefix filtering: with
+shingles ordered by frequency, two sets of similarity 0.8 share one of the
+rarest fifth of their shingles.  Only pairs of different components are made,
+and the largest component of a shingle is not paired with itself, so no step
+lists all pairs of a large group.
 
 Pairs whose 128 one-bit coordinates agree in fewer than 98 are dropped (at
 similarity 0.8, 115 agree on average, standard deviation 3.4).  All others are
@@ -35,7 +38,6 @@ from .components import components
 COORDINATES, BANDS, ROWS = 128, 32, 4
 CIRCLE = 1 << 22
 BITS_LEAST = 98
-SMALL = 64
 WORD_CACHE = 300_000
 
 
@@ -137,41 +139,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(made, "node long, s array<long>")
 
 
-def _alike(a: str, b: str, num: int, den: int):
-    """Size and one-bit tests of two structs (node, n, b1, b2, comp) of different components."""
-    x, y = F.col(a), F.col(b)
+def _alike(num: int, den: int):
+    """Size and one-bit tests of two structs ``a`` and ``b`` (node, n, b1, b2, comp) of different components."""
+    x, y = F.col("a"), F.col("b")
     same = 128 - F.bit_count(x.b1.bitwiseXOR(y.b1)) - F.bit_count(x.b2.bitwiseXOR(y.b2))
     sizes = F.least(x.n, y.n) * den >= F.greatest(x.n, y.n) * num
     return (x.comp != y.comp) & sizes & (same >= BITS_LEAST)
 
 
-def _pairs(a: str, b: str, df: DataFrame) -> DataFrame:
-    return df.select(F.least(F.col(a).node, F.col(b).node).alias("u"), F.greatest(F.col(a).node, F.col(b).node).alias("v"))
-
-
-def _star(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Each member of a bucket with the bucket's pivot, its least member.
-
-    ``node`` is a hash, so the least member is a random one, and mostly the
-    same one in all buckets of a group: few different pairs come of it.
-    """
-    pivot = members.groupBy("key").agg(F.min("me").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "pivot")
-    return _pairs("me", "pivot", members.join(pivot, "key").filter(_alike("me", "pivot", num, den)))
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with the bucket's size."""
-    mixed = members.groupBy("key").agg(F.min(F.col("me.comp")).alias("lo"), F.max(F.col("me.comp")).alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi and m > 2")
-    return members.join(mixed.select("key", "m"), "key")
-
-
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of different components in buckets of bounded size."""
-    a, b = members.select("key", "me"), members.select("key", F.col("me").alias("other"))
-    met = a.join(b, "key").filter((F.col("me.node") < F.col("other.node")) & _alike("me", "other", num, den))
-    return _pairs("me", "other", met)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with den * |intersection| >= num * |union| on the full sets."""
     a = sets.select(F.col("node").alias("u"), F.col("s").alias("su"))
@@ -194,47 +169,81 @@ class _Search:
         twins = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u <> w").select("doc_id", "u")
         self.links = named.join(twins, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")).distinct()
 
-    def members(self, roots: DataFrame | None) -> DataFrame:
-        """``key, me, bands``: every class in each of its buckets."""
-        c = self.classes
+    def attributes(self, roots: DataFrame | None) -> DataFrame:
+        """``node, me``: what a class carries into the tests of a pair."""
+        c = self.classes.select("node", "n", "b1", "b2")
         if roots is None:
             c = c.withColumn("comp", F.col("node"))
         else:
             c = c.join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        return c.select(F.struct("node", "n", "b1", "b2", "comp").alias("me"), "bands", F.explode("bands").alias("key"))
+        return c.select("node", F.struct("node", "n", "b1", "b2", "comp").alias("me"))
+
+    def plausible(self, pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Distinct (u, v) of ``pairs`` that pass the tests on attributes."""
+        me = self.attributes(roots)
+        pairs = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = pairs.join(me.select(F.col("node").alias("u"), F.col("me").alias("a")), "u").join(me.select(F.col("node").alias("v"), F.col("me").alias("b")), "v")
+        return pairs.filter(_alike(self.num, self.den)).select("u", "v")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``node, s`` of the given classes, staged."""
+        ids = common.staged(self.classes.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), "asked")
+        texts = self.docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        made = _sets(texts, self.shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        return common.staged(made, "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` that are links, staged."""
-        pairs = common.staged(pairs.distinct(), "pairs")
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        ids = common.staged(self.classes.join(asked, "node").select("node", F.col("rep").alias("doc_id")), "asked")
-        texts = self.docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = _sets(texts, self.shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
-        return common.staged(_verified(pairs, common.staged(sets, "sets"), self.num, self.den), "links")
+        pairs = common.staged(pairs, "pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        links = common.staged(_verified(pairs, sets, self.num, self.den), "links")
+        common.dropped(self.docs.sparkSession, sets, pairs)
+        return links
+
+    def grown(self, links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = common.staged(links.union(more), "linked")
+        return links, components(links)
+
+    def mixed(self, met: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of ``met`` in buckets of three or more classes and several components."""
+        rows = met.join(self.attributes(roots).select("node", F.col("me.comp").alias("comp")), "node")
+        keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        return common.staged(rows.join(keys, "key").select("key", "node", "m"), "mixed")
+
+    def across(self, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs (u, v) of different components among ``nodes`` by prefix filtering."""
+        sets = self.sets(nodes)
+        each = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
+        often = each.groupBy("x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        shared = each.join(often, "x").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+        # the n - size(xs) shingles of no other class come first and meet nobody
+        length = F.expr(f"n - ceil(n * {self.num} / {self.den}) + 1 - (n - size(xs))").cast("int")
+        prefix = shared.filter(length > 0).select("node", F.explode(F.slice("xs", F.lit(1), length)).alias("p")).select("node", F.col("p.x").alias("x"))
+        me = self.attributes(roots)
+        weight = me.groupBy(F.col("me.comp").alias("comp")).agg(F.count(F.lit(1)).alias("weight"))
+        rows = prefix.join(me, "node").withColumn("comp", F.col("me.comp")).join(weight, "comp")
+        rows = common.staged(rows.select("x", "me", "comp", "weight"), "prefix")
+        tops = rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "comp")).alias("top")).filter("lo <> hi")
+        rows = rows.join(tops.select("x", F.col("top.comp").alias("top")), "x")
+        few = rows.filter("comp <> top").select("x", F.col("me").alias("a"))
+        met = few.join(rows.select("x", F.col("me").alias("b")), "x").filter(_alike(self.num, self.den))
+        return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
     def run(self) -> DataFrame:
         """``node, root`` of the classes."""
-        links = common.staged(self.links.union(self.confirm(_star(self.members(None).drop("bands"), self.num, self.den))), "linked")
-        roots = components(links)
-        members = _mixed(self.members(roots))
-        found, depth = [], 1
-        members = common.staged(members, "mixed")
-        while True:
-            found.append(_across(members.filter(F.col("m") <= SMALL) if depth < 3 else members, self.num, self.den))
-            large = members.filter(F.col("m") > SMALL).drop("m")
-            if depth == 3 or large.isEmpty():
-                break
-            finer = large.select("me", "bands", F.explode("bands").alias("next"), F.col("key").alias("last")).filter("next <> last")
-            finer = finer.select("me", "bands", F.xxhash64(F.least("last", "next") if depth == 1 else F.col("last"), F.greatest("last", "next") if depth == 1 else F.col("next")).alias("key")).distinct()
-            members = common.staged(_mixed(finer), "finer")
-            depth += 1
-        pairs = found[0]
-        for f in found[1:]:
-            pairs = pairs.union(f)
-        more = self.confirm(pairs)
-        if more.isEmpty():
-            return roots
-        return components(links.union(more))
+        members = self.classes.select("node", F.explode("bands").alias("key"))
+        pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+        met = common.staged(members.join(pivots, "key"), "met")
+        first = self.plausible(met.select(F.col("node").alias("u"), F.col("pivot").alias("v")), None)
+        links, roots = self.grown(self.links, self.confirm(first))
+        left = self.mixed(met.filter("m > 2").select("key", "node", "m"), roots)
+        mates = left.groupBy("node").agg(F.sum("m").alias("mates"))
+        hubs = left.join(mates, "node").groupBy("key").agg(F.max(F.struct("mates", "node")).alias("hub")).select("key", F.col("hub.node").alias("v"))
+        second = self.plausible(left.join(hubs, "key").select(F.col("node").alias("u"), "v"), roots)
+        links, roots = self.grown(links, self.confirm(second))
+        nodes = self.mixed(left, roots).select("node").distinct()
+        more = self.confirm(self.across(nodes, roots))
+        return self.grown(links, more)[1]
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
