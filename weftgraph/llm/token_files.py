@@ -32,7 +32,7 @@ from . import common
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
-CHUNK_CACHE = 250_000
+CHUNK_CACHE = 500_000
 BLOCK = 512
 
 SHARD_SCHEMA = "part int, shard int, n long, bits int, doc_ids binary, null_ids binary, ends binary, planes array<binary>, ranks array<binary>, zeros array<long>"
@@ -50,10 +50,13 @@ class Wavelet:
 
         ids = np.asarray(ids, np.uint32)
         bits = max(1, int(ids.max(initial=0)).bit_length())
+        if bits <= 16:
+            ids = ids.astype(np.uint16)
         planes, ranks, zeros = [], [], []
         for j in range(bits - 1, -1, -1):
-            bit = (ids >> np.uint32(j)) & np.uint32(1) != 0
-            packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % BLOCK, bool)]))
+            bit = (ids & ids.dtype.type(1 << j)) != 0
+            packed = np.packbits(bit)
+            packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             ones = np.bitwise_count(packed).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint64) if len(packed) else np.zeros(0, np.uint64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
@@ -87,16 +90,19 @@ class Wavelet:
         """The ids at places i to j-1."""
         import numpy as np
 
+        if j - i == self.n:  # undo the stable partitions from the last plane up
+            out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+            for p in range(self.bits - 1, -1, -1):
+                bit = np.unpackbits(self.planes[p], count=self.n).view(bool)
+                before = np.empty_like(out)
+                before[~bit] = out[: self.zeros[p]]
+                before[bit] = out[self.zeros[p] :] | out.dtype.type(1 << (self.bits - 1 - p))
+                out = before
+            return out.astype(np.uint32)
         at, out = np.arange(i, j, dtype=np.int64), np.zeros(j - i, np.uint32)
-        whole = j - i == self.n
         for p in range(self.bits):
-            if whole:  # one pass over the plane in place of ranks
-                bit = np.unpackbits(self.planes[p], count=self.n).astype(bool)
-                ones = np.cumsum(bit) - bit
-                bit_at, ones_at = bit[at], ones[at]
-            else:
-                bit_at = (self.planes[p][at // 8] >> (7 - at % 8).astype(np.uint8)) & 1 != 0
-                ones_at = self.rank1(p, at)
+            bit_at = (self.planes[p][at // 8] >> (7 - at % 8).astype(np.uint8)) & 1 != 0
+            ones_at = self.rank1(p, at)
             out = (out << np.uint32(1)) | bit_at
             at = np.where(bit_at, self.zeros[p] + ones_at, at - ones_at)
         return out
@@ -159,31 +165,78 @@ class Wavelet:
 class Encoder:
     """Ids of whole texts through a bounded cache of white-space chunks.
 
-    The tokenizer's normaliser turns white space to spaces and its
-    pre-tokenizer drops them, so chunks between white space are independent.
+    The tokenizer's normaliser turns white space to spaces and lowers case,
+    and its pre-tokenizer drops spaces, so chunks between white space are
+    independent, ASCII capitals do not matter, and a final comma or full stop
+    after a letter or digit is a pre-token of its own.  Chunks that the cache
+    lacks are encoded many at a time, set apart by a special token.
     """
 
     def __init__(self, tokenizer_file: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cache = common.Generations(self._miss, CHUNK_CACHE)
-
-    def _miss(self, chunk: bytes) -> bytes:
+        with open(tokenizer_file, encoding="utf-8") as f:
+            special = [t for t in json.load(f)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.special = [t["content"].encode() for t in special]
+        self.mark = (special[0]["content"], special[0]["id"]) if special else None
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fill(self, chunks) -> None:
+        """Put every one of ``chunks`` into the cache."""
         import numpy as np
 
-        return np.asarray(self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+        cache, old, parts, wanted = self.cache, self.old, [], set()
+        for c in chunks:
+            found = old.get(c)
+            if found is not None:
+                cache[c] = found
+            elif len(c) > 1 and c[-1] in b",." and c[-2:-1].isalnum():
+                parts.append(c)
+                wanted.update((c[:-1], c[-1:]))
+            else:
+                wanted.add(c)
+        missing = [c for c in wanted if c not in cache]
+        alone = missing if self.mark is None else [c for c in missing if any(s in c for s in self.special)]
+        many = [] if self.mark is None else [c for c in missing if not any(s in c for s in self.special)]
+        for c, ids in zip(alone, self._ids([c.decode("utf-8", "surrogatepass") for c in alone])):
+            cache[c] = np.asarray(ids, "<u4").tobytes()
+        groups = [many[i : i + 500] for i in range(0, len(many), 500)]
+        joint = [f" {self.mark[0]} ".join(c.decode("utf-8", "surrogatepass") for c in g) for g in groups]
+        for g, ids in zip(groups, self._ids(joint)):
+            ids = np.asarray(ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[1])
+            data, at = ids.tobytes(), 0
+            for c, cut in zip(g, [*cuts.tolist(), len(ids)]):
+                cache[c] = data[4 * at : 4 * cut]
+                at = cut + 1
+        for c in parts:
+            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if len(self.cache) >= CHUNK_CACHE:
+            self.cache, self.old = {}, self.cache
+        split = [self._chunks(t) for t in texts]
+        self._fill(set().union(*split).difference(self.cache))
+        at = self.cache.__getitem__
+        return [b"".join(map(at, chunks)) for chunks in split]
+
+    def _chunks(self, text: str | None) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass") if text else b""
+        low = data.lower()
+        return (data if any(s in low for s in self.special) else low).split()
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        out = b"".join(map(self.cache.__getitem__, text.encode("utf-8", "surrogatepass").split()))
-        self.cache.trim()
-        return out
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict = {}
@@ -224,14 +277,15 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
             return pa.RecordBatch.from_pylist([row], schema)
 
         for b in batches:
-            for p, i, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            data_of = encoder.encode_all(b.column("text").to_pylist())
+            for p, i, data in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), data_of):
                 if ids and (p != now or n >= SHARD_TOKENS):
                     yield closed()
                     shard, ids, ends, chunks, n = (shard + 1 if p == now else 0), [], [], [], 0
                 elif p != now:
                     shard = 0
                 now = p
-                data = encoder.encode(text) + end
+                data += end
                 n += len(data) // 4
                 ids.append(i)
                 ends.append(n)
