@@ -196,28 +196,29 @@ class Encoder:
 
         cache, old, parts, wanted = self.cache, self.old, [], set()
         for c in chunks:
-            found = old.get(c)
-            if found is not None:
-                cache[c] = found
-            elif len(c) > 1 and c[-1] in b",." and c[-2:-1].isalnum():
+            if c in old:
+                cache[c] = old[c]
+            elif c[-1:] in b",." and c[-2:-1].isalnum():
                 parts.append(c)
-                wanted.update((c[:-1], c[-1:]))
+                wanted.add(c[:-1])
+                wanted.add(c[-1:])
             else:
                 wanted.add(c)
-        missing = [c for c in wanted if c not in cache]
-        alone = missing if self.mark is None else [c for c in missing if any(s in c for s in self.special)]
-        many = [] if self.mark is None else [c for c in missing if not any(s in c for s in self.special)]
-        for c, ids in zip(alone, self._ids([c.decode("utf-8", "surrogatepass") for c in alone])):
-            cache[c] = np.asarray(ids, "<u4").tobytes()
-        groups = [many[i : i + 500] for i in range(0, len(many), 500)]
-        joint = [f" {self.mark[0]} ".join(c.decode("utf-8", "surrogatepass") for c in g) for g in groups]
-        for g, ids in zip(groups, self._ids(joint)):
+        missing = list(wanted.difference(cache))
+        if self.mark is None or any(s in b"\n".join(missing) for s in self.special):
+            alone = [c for c in missing if self.mark is None or any(s in c for s in self.special)]
+            missing = list(set(missing).difference(alone))
+            for c, ids in zip(alone, self._ids([c.decode("utf-8", "surrogatepass") for c in alone])):
+                cache[c] = np.asarray(ids, "<u4").tobytes()
+        groups = [missing[i : i + 500] for i in range(0, len(missing), 500)]
+        between = f" {self.mark[0]} ".encode() if self.mark else b""
+        for g, ids in zip(groups, self._ids([between.join(g).decode("utf-8", "surrogatepass") for g in groups])):
             ids = np.asarray(ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[1])
+            cuts = [*(np.flatnonzero(ids == self.mark[1]) * 4).tolist(), 4 * len(ids)]
             data, at = ids.tobytes(), 0
-            for c, cut in zip(g, [*cuts.tolist(), len(ids)]):
-                cache[c] = data[4 * at : 4 * cut]
-                at = cut + 1
+            for c, cut in zip(g, cuts):
+                cache[c] = data[at:cut]
+                at = cut + 4
         for c in parts:
             cache[c] = cache[c[:-1]] + cache[c[-1:]]
 
