@@ -27,6 +27,13 @@ def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    found = contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -66,7 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_scores, op3_minhash_near_dups, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_lattice_scores, op3_minhash_near_dups, op4_decontamination, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
