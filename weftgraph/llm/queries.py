@@ -34,6 +34,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pseudonymised
+
+    found = pseudonymised(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f.kind, f.pseudonym)), " ").alias("pseudonyms"), "n_replaced")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -73,7 +80,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_scores, op3_minhash_near_dups, op4_decontamination, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_lattice_scores, op3_minhash_near_dups, op4_decontamination, op5_pseudonyms, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
