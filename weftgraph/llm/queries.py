@@ -21,6 +21,12 @@ def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, model, _remainder(7) == 2)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import drawn_findings, secrets, train
+
+    return secrets(common.table(spark, sf_dir, "documents"), train(drawn_findings(spark)))
+
+
 def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
@@ -80,7 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_scores, op3_minhash_near_dups, op4_decontamination, op5_pseudonyms, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_lattice_scores, op2_secret_scan, op3_minhash_near_dups, op4_decontamination, op5_pseudonyms, op6_token_counts, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
