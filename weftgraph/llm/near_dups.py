@@ -218,15 +218,17 @@ class _Search:
         shared = each.join(often, "x").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
         # the n - size(xs) shingles of no other class come first and meet nobody
         length = F.expr(f"n - ceil(n * {self.num} / {self.den}) + 1 - (n - size(xs))").cast("int")
-        prefix = shared.filter(length > 0).select("node", F.explode(F.slice("xs", F.lit(1), length)).alias("p")).select("node", F.col("p.x").alias("x"))
-        me = self.attributes(roots)
-        weight = me.groupBy(F.col("me.comp").alias("comp")).agg(F.count(F.lit(1)).alias("weight"))
-        rows = prefix.join(me, "node").withColumn("comp", F.col("me.comp")).join(weight, "comp")
-        rows = common.staged(rows.select("x", "me", "comp", "weight"), "prefix")
-        tops = rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "comp")).alias("top")).filter("lo <> hi")
+        prefix = shared.filter(length > 0).select("node", (F.col("n") - F.size("xs")).alias("own"), F.posexplode(F.slice("xs", F.lit(1), length)).alias("at", "p"))
+        rows = prefix.select("node", (F.col("own") + F.col("at")).alias("at"), F.col("p.x").alias("x")).join(self.attributes(roots), "node")
+        rows = common.staged(rows.select("x", "at", "me"), "prefix")
+        tops = rows.groupBy("x", F.col("me.comp").alias("comp")).agg(F.count(F.lit(1)).alias("c"))
+        tops = tops.groupBy("x").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
         rows = rows.join(tops.select("x", F.col("top.comp").alias("top")), "x")
-        few = rows.filter("comp <> top").select("x", F.col("me").alias("a"))
-        met = few.join(rows.select("x", F.col("me").alias("b")), "x").filter(_alike(self.num, self.den))
+        few = rows.filter("me.comp <> top").select("x", F.col("at").alias("i"), F.col("me").alias("a"))
+        both = few.join(rows.select("x", F.col("at").alias("j"), F.col("me").alias("b")), "x")
+        # from their first common shingle on, the sets must still be able to share enough
+        rest = F.least(F.col("a.n") - F.col("i"), F.col("b.n") - F.col("j"))
+        met = both.filter(_alike(self.num, self.den) & (rest * (self.num + self.den) >= (F.col("a.n") + F.col("b.n")) * self.num))
         return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
     def run(self) -> DataFrame:
