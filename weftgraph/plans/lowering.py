@@ -83,6 +83,7 @@ class Lowering:
         return df
 
     def _joins(self, c) -> bool:
+        """Whether a condition reads more than the node itself."""
         if isinstance(c, (X.And, X.Or)):
             return any(self._joins(p) for p in c.parts)
         return isinstance(c, (X.Chain, X.Recorded, X.Moment))
@@ -612,6 +613,8 @@ class Lowering:
     def windowed(self, s: X.Selection, window: X.Window) -> DataFrame:
         """A root selection over a window: ``id, out`` by first match, or joined, left and changed."""
         bare = X.Selection(s.types, s.condition, s.items, s.near, s.order, s.limit, None, at=s.at)
+        if not (window.changes or s.near or s.order or s.limit is not None or self._joins(s.condition) or any(isinstance(i, X.Walk) for i in s.items)):
+            return self._own_window(bare, window)
         seen, kinds = self._reads(bare, s.types)
         wide, k, most = self._window_graph(seen, kinds, window, s.types)
         low = Lowering(wide, self.context)
@@ -621,6 +624,22 @@ class Lowering:
             return rows.groupBy("id").agg(F.min_by("out", "k").alias("out"))
         return self.changed(rows, ["id"], k.count() - 1)
 
+    def _own_window(self, s: X.Selection, window: X.Window) -> DataFrame:
+        """A window over nodes alone: what they show changes only at their own boundaries, so each is tried at those."""
+        past = self.context.history or self.graph
+        start = dates.instant(periods.instant(past, s.types, window.start, False, self.context.source))
+        stop = dates.instant(periods.instant(past, s.types, window.stop, True, self.context.source))
+        fields = self._touches(s.condition, s.types)[0] | {i.name for i in s.items if isinstance(i, X.Prop)} | {i.arg.field for i in s.items if isinstance(i, X.Builtin) and hasattr(i.arg, "field")}
+        found = None
+        for t in s.types:
+            points = temporal.window_points(temporal.own_boundaries(past, t, fields), past.node(t).select("id"), start, stop)
+            rows = past.visible(t, temporal.states(past, t, points, fields), F.col("t"))
+            low = Lowering(past, self.context)
+            rows = low.keep(rows, (t,), s.condition).withColumn("_key", F.col("id").cast("string")).withColumn("_hops", F.lit(0))
+            rows = low.nested(rows, s, (t,)).groupBy("id").agg(F.min_by("out", "t").alias("out"))
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
     def changed(self, rows: DataFrame, key: list[str], last: int) -> DataFrame:
         """Key, what (joined, left, changed), before, after: the two end states compared."""
         a = rows.filter("k = 0").select(*key, F.col("out").alias("before"))

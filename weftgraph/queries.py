@@ -1,17 +1,362 @@
-"""Registered queries of the graph engine over the driver's tables."""
+"""Registered queries of the graph engine over the driver's tables.
+
+Each runs a statement of the language (or one operator) over whole tables;
+its SQL says the same to DuckDB over the same Parquet files.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine
+from .functions import search, values
+from .functions.text import folded
+from .sources.graph import export_nodes
+from .sources.tables import shop
+from .writes import diff, validate
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(shop(spark, sf_dir))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.replace(".", "_") for c in df.columns])
+
+
+def _flat(name: str, text: str, sql: str) -> None:
+    """A statement whose flat rows are the result."""
+    _QUERIES[name] = lambda spark, sf_dir: _plain(_engine(spark, sf_dir).flat(text))
+    _SQL[name] = sql
+
+
+def _query(sql: str | None = None):
+    def registered(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return registered
+
+
+# --- scans and filters --------------------------------------------------------
+
+_flat("scan_type", "{ Region { key name } }", "SELECT CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region")
+_flat("scan_union", "{ (Customer | Supplier)(acctbal < 0) { name segment } }", "SELECT c_name AS name, c_mktsegment AS segment FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_name, NULL FROM supplier WHERE s_acctbal < 0")
+_flat("filter_equality", '{ Customer(segment = "BUILDING") { key name } }', "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'")
+_flat("filter_not_equal_null", "{ User(value != 50) { key } } as of 2024-01-01T00:10", "WITH h AS (SELECT user_id, arg_max(value, (ts, event_id)) FILTER (WHERE date_trunc('second', ts) <= TIMESTAMP '2024-01-01 00:10:00') AS v FROM events GROUP BY 1) SELECT user_id AS key FROM h WHERE v IS NULL OR v <> 50")
+_flat("filter_compare", '{ Order(total >= 400000 && date < "1998-06-01") { key total } }', "SELECT o_orderkey AS key, o_totalprice AS total FROM orders WHERE o_totalprice >= 400000 AND o_orderdate < TIMESTAMP '1998-06-01'")
+_flat("filter_and_or", '{ Part(kind = "PROMO" || size < 5 && price > 1000 || (brand = "Brand#4" && size != 7)) { key } }', "SELECT p_partkey AS key FROM part WHERE p_type = 'PROMO' OR (p_size < 5 AND p_retailprice > 1000) OR (p_brand = 'Brand#4' AND p_size <> 7)")
+_flat("filter_cross_kind", '{ Part(size > "5" || key = 2.5) { key } }', "SELECT p_partkey AS key FROM part WHERE false")
+_flat("filter_id", "{ Nation(@id <= 2199023255559) { key } }", "SELECT CAST(n_nationkey AS BIGINT) AS key FROM nation WHERE n_nationkey <= 7")
+_flat("text_find_exact", '{ Doc(text findExact "the ") { key } }', "SELECT doc_id AS key FROM documents WHERE contains(text, 'the ')")
+_flat("text_starts_exact", '{ Part(name startsExact "small") { key name } }', "SELECT p_partkey AS key, p_name AS name FROM part WHERE starts_with(p_name, 'small')")
+_flat("text_ends_exact", '{ Part(name endsExact "gear") { key name } }', "SELECT p_partkey AS key, p_name AS name FROM part WHERE ends_with(p_name, 'gear')")
+_FOLD = "upper(strip_accents(replace(text, 'ß', 'ss')))"
+_flat("text_find_like", '{ Doc(text findLike "REÉN") { key } }', f"SELECT doc_id AS key FROM documents WHERE contains({_FOLD}, 'REEN')")
+_flat("text_starts_like", '{ Doc(text startsLike "dé") { key } }', f"SELECT doc_id AS key FROM documents WHERE starts_with({_FOLD}, 'DE')")
+_flat("text_ends_like", '{ Doc(text endsLike "É.") { key } }', f"SELECT doc_id AS key FROM documents WHERE ends_with({_FOLD}, 'E.')")
+
+
+def _lat(k: str) -> str:
+    return f"CAST({k} * 37 % 120 - 60 AS DOUBLE)"
+
+
+def _lon(k: str) -> str:
+    return f"CAST({k} * 73 % 360 - 180 AS DOUBLE)"
+
+
+def _haversine(a: str, b: str, c: str, d: str) -> str:
+    """Metres between (a, b) and (c, d) as SQL."""
+    wrapped = f"((({d}) - ({b}) + 540.0) % 360.0 - 180.0)"
+    h = f"pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({wrapped}) / 2), 2)"
+    return f"(2 * 6371008.8 * asin(sqrt(least(1.0, greatest(0.0, {h})))))"
+
+
+_D = _haversine(_lat("c_custkey"), _lon("c_custkey"), "20.5", "30.25")
+_flat("radius", "{ Customer(@distance(at, @point(20.5, 30.25)) <= 1500000) { key } }", f"SELECT c_custkey AS key FROM customer WHERE {_D} <= 1500000")
+_flat("radius_outside", "{ Customer(@distance(at, @point(20.5, 30.25)) > 15000000) { key } }", f"SELECT c_custkey AS key FROM customer WHERE {_D} > 15000000")
+_flat("box", "{ Customer(@within_box(at, @point(-10, 5), @point(30, 60))) { key } }", f"SELECT c_custkey AS key FROM customer WHERE {_lat('c_custkey')} BETWEEN -10 AND 30 AND {_lon('c_custkey')} BETWEEN 5 AND 60")
+_flat("box_antimeridian", "{ Customer(@within_box(at, @point(-10, 170), @point(30, -165))) { key } }", f"SELECT c_custkey AS key FROM customer WHERE {_lat('c_custkey')} BETWEEN -10 AND 30 AND ({_lon('c_custkey')} >= 170 OR {_lon('c_custkey')} <= -165)")
+_QV = [1.0] + [0.25] * 63
+_QL = "@vector[" + ", ".join(str(x) for x in _QV) + "]"
+_COS = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_QV} AS DOUBLE[]))"
+_flat("similarity_filter", f"{{ Vec(@similarity(embedding, {_QL}) >= 0.1) {{ key label }} }}", f"SELECT vec_id AS key, CAST(label AS BIGINT) AS label FROM embeddings WHERE {_COS} >= 0.1")
+
+# --- order, limit, top-k ---------------------------------------------------------
+
+_flat("order_limit", "{ Customer order by acctbal desc, key limit 25 { key acctbal } }", "SELECT c_custkey AS key, c_acctbal AS acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+_flat("order_nulls_last", "{ User order by value desc limit 40 { key value } } as of 2024-01-01T00:05", "WITH h AS (SELECT user_id, arg_max(value, (ts, event_id)) FILTER (WHERE date_trunc('second', ts) <= TIMESTAMP '2024-01-01 00:05:00') AS v FROM events GROUP BY 1) SELECT user_id AS key, v AS value FROM h ORDER BY v DESC NULLS LAST, user_id LIMIT 40")
+
+
+@_query(f"SELECT c_custkey AS key, round({_D}, 3) AS metres FROM customer ORDER BY {_D}, c_custkey LIMIT 30")
+def order_distance(spark, sf_dir):
+    df = _engine(spark, sf_dir).flat("{ Customer order by @distance(at, @point(20.5, 30.25)) limit 30 { key metres: @distance(at, @point(20.5, 30.25)) } }")
+    return df.withColumn("metres", F.round("metres", 3))
+
+
+@_query(f"SELECT vec_id AS key, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def nearest_vectors(spark, sf_dir):
+    df = _engine(spark, sf_dir).flat(f"{{ Vec @near(embedding, {_QL}, 20) {{ key @score }} }}")
+    return df.withColumn("score", F.round("score", 6))
+
+
+# --- walks -------------------------------------------------------------------------
+
+_flat("walk_one_hop", "{ Customer { key nation -> Nation { name } } }", "SELECT c_custkey AS key, n_name AS nation_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_flat("walk_back", "{ Nation { key suppliers <- Supplier(acctbal > 5000) { key acctbal } } }", "SELECT CAST(n_nationkey AS BIGINT) AS key, s_suppkey AS suppliers_key, s_acctbal AS suppliers_acctbal FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+_flat(
+    "walk_two_hops",
+    "{ Nation { name customers <- Customer(acctbal > 0) { key orders -> Order(total > 450000) { key total } } } }",
+    "SELECT n_name AS name, c_custkey AS customers_key, o_orderkey AS customers_orders_key, o_totalprice AS customers_orders_total FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000",
+)
+_flat("walk_edge_property", "{ Order(total > 490000) { key parts -> Part { key &quantity } } }", "SELECT o_orderkey AS key, p_partkey AS parts_key, l_quantity AS parts_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_totalprice > 490000")
+_flat(
+    "walk_nested_top",
+    "{ Nation { key customers <- Customer order by acctbal desc limit 3 { key acctbal } } }",
+    "SELECT CAST(n_nationkey AS BIGINT) AS key, c_custkey AS customers_key, c_acctbal AS customers_acctbal FROM nation LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) ON c_nationkey = n_nationkey AND r <= 3",
+)
+_STEPS = "WITH RECURSIVE n AS (SELECT max(p_partkey) + 1 AS n FROM part), e AS (SELECT p_partkey AS a, (p_partkey + 1) % n AS b, p_size + 1 AS w FROM part, n UNION ALL SELECT p_partkey, (p_partkey * 7 + 1) % n, p_size + 1 FROM part, n)"
+_BAND = _STEPS + ", d AS (SELECT p_partkey AS s, p_partkey AS x, 0 AS h FROM part UNION SELECT s, b, h + 1 FROM d JOIN e ON x = a WHERE h < {high}), m AS (SELECT s, x, min(h) AS h FROM d GROUP BY 1, 2)"
+_flat("hops_1_3", "{ Part { key step *1..3 -> Part { key @hops } } }", _BAND.format(high=3) + " SELECT s AS key, x AS step_key, CAST(h AS BIGINT) AS step_hops FROM m WHERE h BETWEEN 1 AND 3")
+_flat("hops_worded", "{ Part(size = 50) { key step min 2 max 3 hops -> Part(size < 10) { key @hops } } }", _BAND.format(high=3) + ", k AS (SELECT s, x, h FROM m JOIN part q ON x = q.p_partkey WHERE h BETWEEN 2 AND 3 AND q.p_size < 10) SELECT p_partkey AS key, x AS step_key, CAST(h AS BIGINT) AS step_hops FROM part LEFT JOIN k ON s = p_partkey WHERE p_size = 50")
+_flat("hops_turns", '{ Turn(role = "user") { conv turn next *1..4 -> Turn { turn @hops } } }', "WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT a.conv_id AS conv, a.turn, b.turn AS next_turn, b.r - a.r AS next_hops FROM o a LEFT JOIN o b ON a.conv_id = b.conv_id AND b.r - a.r BETWEEN 1 AND 4 WHERE a.role = 'user'")
+
+_flat("has_walk", "{ Nation(has customers in orders(total > 495000)) { key } }", "SELECT CAST(n_nationkey AS BIGINT) AS key FROM nation WHERE EXISTS (SELECT 1 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_totalprice > 495000)")
+_flat("has_walk_tests", '{ Customer(has nation(name != "NATION_3") in region(name = "ASIA") && acctbal > 1000) { key } }', "SELECT c_custkey AS key FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE n_name <> 'NATION_3' AND r_name = 'ASIA' AND c_acctbal > 1000")
+_flat("not_have", '{ Customer(!have orders(status = "F")) { key } }', "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+_flat("has_or", '{ Customer(has orders(total > 495000) || segment = "MACHINERY" && !have orders(priority = "1-URGENT")) { key } }', "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 495000) OR (c_mktsegment = 'MACHINERY' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'))")
+_flat(
+    "same_continues",
+    '{ Customer(has orders(total > 450000) && same orders(status = "O") in suppliers(acctbal < 1000)) { key } }',
+    "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey = c_custkey AND o_totalprice > 450000 AND o_orderstatus = 'O' AND s_acctbal < 1000)",
+)
+_flat(
+    "same_joins",
+    '{ Customer(has nation && has orders(total > 400000) in suppliers in same nation) { key } }',
+    "SELECT DISTINCT c_custkey AS key FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_totalprice > 400000 AND s_nationkey = c_nationkey",
+)
+_flat("has_band", "{ Part(has step within 2 hops(size = 50)) { key } }", _BAND.format(high=2) + " SELECT DISTINCT s AS key FROM m JOIN part ON x = p_partkey WHERE h BETWEEN 1 AND 2 AND p_size = 50")
+_flat("has_band_from", "{ Part(has step min 2 max 3 hops(size = 50)) { key } }", _BAND.format(high=3) + " SELECT DISTINCT s AS key FROM m JOIN part ON x = p_partkey WHERE h BETWEEN 2 AND 3 AND p_size = 50")
+
+# --- paths -------------------------------------------------------------------------
+
+
+def _path(text: str) -> Query:
+    def run(spark, sf_dir):
+        df = _engine(spark, sf_dir).nested(text)
+        return df.select("key", F.col("step.cost").alias("cost"), F.col("step.hops").alias("hops"))
+
+    return run
+
+
+_QUERIES["path_fewest"] = _path("{ Part(size = 1) { key step *path(@hops <= 6) -> Part(size = 50) { key } } }")
+_SQL["path_fewest"] = _STEPS + ", d AS (SELECT p_partkey AS s, p_partkey AS x, 0 AS h FROM part WHERE p_size = 1 UNION SELECT s, b, h + 1 FROM d JOIN e ON x = a WHERE h < 6), g AS (SELECT s, CAST(min(h) AS BIGINT) AS h FROM d JOIN part ON x = p_partkey WHERE p_size = 50 GROUP BY 1) SELECT p_partkey AS key, h AS cost, h AS hops FROM part LEFT JOIN g ON s = p_partkey WHERE p_size = 1"
+
+
+@_query(_STEPS + ", d AS (SELECT p_partkey AS s, p_partkey AS x, CAST(0 AS BIGINT) AS c FROM part WHERE p_size = 1 UNION SELECT s, b, CAST(c + w AS BIGINT) FROM d JOIN e ON x = a WHERE c + w <= 70), g AS (SELECT s, min(c) AS c FROM d JOIN part ON x = p_partkey WHERE p_size = 50 GROUP BY 1) SELECT p_partkey AS key, c AS cost FROM part LEFT JOIN g ON s = p_partkey WHERE p_size = 1")
+def path_cheapest(spark, sf_dir):
+    df = _engine(spark, sf_dir).nested("{ Part(size = 1) { key step *path(@cost <= 70) by &w -> Part(size = 50) { key } } }")
+    return df.select("key", F.col("step.cost").alias("cost"))
+
+
+# --- time --------------------------------------------------------------------------
+
+_HIST = "h AS (SELECT user_id, date_trunc('second', ts) AS t, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM events)"
+_flat("as_of_value", "{ User { key value } } as of 2024-01-15", f"WITH {_HIST} SELECT user_id AS key, arg_max(v, t) FILTER (WHERE t <= TIMESTAMP '2024-01-15') AS value FROM h GROUP BY 1")
+_flat(
+    "as_of_relationship",
+    "{ Customer { key current -> Order { key } } } as of 1998-06-01",
+    "WITH o AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-01' GROUP BY 1) SELECT c_custkey AS key, k AS current_key FROM customer LEFT JOIN o ON o_custkey = c_custkey",
+)
+
+
+@_query(f"WITH {_HIST}, s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 7 DAY)) AS t) SELECT u.user_id AS key, strftime(s.t, '%Y-%m-%dT%H:%M') AS time, (SELECT arg_max(v, h.t) FROM h WHERE h.user_id = u.user_id AND h.t <= s.t) AS value FROM u, s")
+def series_week(spark, sf_dir):
+    df = _engine(spark, sf_dir).flat("{ User { key <value> } } from 2024-01-01 to 2024-01-30 by week")
+    return df.select("key", F.explode("value").alias("x")).select("key", "x.time", "x.value")
+
+
+_flat("ever_always", "{ User(ever value >= 500 && always value > -1) { key } }", f"WITH {_HIST} SELECT user_id AS key FROM h GROUP BY 1 HAVING bool_or(v >= 500) AND bool_and(v > -1)")
+_flat(
+    "always_during",
+    "{ User(always value < 120 during 2024-01-10 to 2024-01-11) { key } }",
+    f"WITH {_HIST}, p AS (SELECT user_id, t FROM h WHERE t > TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-11' UNION SELECT user_id, unnest([TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11']) FROM u), s AS (SELECT p.user_id, p.t, (SELECT arg_max(v, h.t) FROM h WHERE h.user_id = p.user_id AND h.t <= p.t) AS v FROM p) SELECT user_id AS key FROM s GROUP BY 1 HAVING bool_and(coalesce(v < 120, false))",
+)
+_flat("first_last_time", "{ User { key @firstTime(value >= 90) @lastTime(value >= 90) } }", f"WITH {_HIST}, f AS (SELECT user_id, min(t) AS a, max(t) AS b FROM h WHERE v >= 90 GROUP BY 1), q AS (SELECT u.user_id, a, b FROM u LEFT JOIN f USING (user_id)) SELECT user_id AS key, CASE WHEN second(a) = 0 THEN strftime(a, '%Y-%m-%dT%H:%M') ELSE strftime(a, '%Y-%m-%dT%H:%M:%S') END AS firstTime, CASE WHEN second(b) = 0 THEN strftime(b, '%Y-%m-%dT%H:%M') ELSE strftime(b, '%Y-%m-%dT%H:%M:%S') END AS lastTime FROM q")
+_flat("first_time_filter", "{ User(@firstTime(value >= 90) < 2024-01-03) { key } }", f"WITH {_HIST} SELECT user_id AS key FROM h WHERE v >= 90 GROUP BY 1 HAVING min(t) < TIMESTAMP '2024-01-03'")
+
+
+@_query(f"WITH {_HIST}, p AS (SELECT user_id, t FROM h WHERE t > TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12' UNION SELECT user_id, unnest([TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12']) FROM u), s AS (SELECT p.user_id, p.t, (SELECT arg_max(v, h.t) FROM h WHERE h.user_id = p.user_id AND h.t <= p.t) AS v FROM p) SELECT user_id AS key, arg_min(v, t) AS value FROM s WHERE v > 95 GROUP BY 1")
+def during_window(spark, sf_dir):
+    return _engine(spark, sf_dir).flat("{ User(value > 95) { key value } } during 2024-01-10 to 2024-01-12").drop("id")
+
+
+@_query(f"WITH {_HIST}, s AS (SELECT user_id, arg_max(v, t) FILTER (WHERE t <= TIMESTAMP '2024-01-05') AS a, arg_max(v, t) FILTER (WHERE t <= TIMESTAMP '2024-01-20') AS b FROM h GROUP BY 1) SELECT user_id AS key, a AS before, b AS after FROM s WHERE a IS DISTINCT FROM b")
+def changes_window(spark, sf_dir):
+    df = _engine(spark, sf_dir).flat("{ User { key value } } changes from 2024-01-05 to 2024-01-20")
+    return df.select(F.coalesce("before.key", "after.key").alias("key"), F.col("before.value").alias("before"), F.col("after.value").alias("after"))
+
+
+@_query("WITH o AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderdate <= TIMESTAMP '1997-01-01') AS a, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderdate <= TIMESTAMP '1998-01-01') AS b FROM orders GROUP BY 1) SELECT o_custkey AS customer, a AS before, b AS after FROM o WHERE a IS DISTINCT FROM b")
+def changes_relationship(spark, sf_dir):
+    df = _engine(spark, sf_dir).flat("{ Customer { key current -> Order { key } } } changes from 1997-01-01 to 1998-01-01")
+    one = lambda c: F.get(F.col(f"{c}.current.key"), F.lit(0))
+    return df.select(F.col("after.key").alias("customer"), one("before").alias("before"), one("after").alias("after"))
+
+
+# --- discovery ---------------------------------------------------------------------
+
+
+def _edges(text: str, measure: str | None = None) -> Query:
+    def run(spark, sf_dir):
+        engine = _engine(spark, sf_dir)
+        name = text.split("query {")[1].split()[0]
+        keys = engine.graph.node(name).select("id", "key")
+        found = engine.pipeline(text)[-1].proposals
+        a = keys.select(F.col("id").alias("from"), F.col("key").alias("a"))
+        b = keys.select(F.col("id").alias("to"), F.col("key").alias("b"))
+        shown = F.col("value") if measure is None else F.round("measure", 6 if measure == "score" else 2).alias(measure)
+        return found.join(a, "from").join(b, "to").select("a", "b", shown)
+
+    return run
+
+
+_QUERIES["common_star"] = _edges("query { Part { key } } then { common { Part { brand size } } }")
+_SQL["common_star"] = "WITH m AS (SELECT p_partkey, p_brand, p_size, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS c FROM part) SELECT c AS a, p_partkey AS b, '[\"' || p_brand || '\",' || p_size || ']' AS value FROM m WHERE c <> p_partkey"
+_QUERIES["similar_pairs"] = _edges("query { Vec { key } } then { similar { &embedding > 0.9 } }", "score")
+_SQL["similar_pairs"] = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.9"
+_QUERIES["near_pairs"] = _edges("query { Customer { key } } then { near { &at < 300 km } }", "distance")
+_P = "SELECT c_custkey AS k, CAST(c_custkey * 37 % 120 - 60 AS DOUBLE) AS lat, CAST(c_custkey * 73 % 360 - 180 AS DOUBLE) AS lon FROM customer"
+_SQL["near_pairs"] = f"WITH p AS ({_P}), d AS (SELECT a.k AS a, b.k AS b, {_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM p a JOIN p b ON a.k < b.k AND abs(a.lat - b.lat) <= 3) SELECT a, b, round(m, 2) AS distance FROM d WHERE m < 300000"
+
+
+def _nodes(text: str, name: str) -> Query:
+    def run(spark, sf_dir):
+        engine = _engine(spark, sf_dir)
+        found = engine.pipeline(text)[-1].nodes.select("id")
+        return engine.graph.node(name).join(found, "id", "left_semi").select("key")
+
+    return run
+
+
+_QUERIES["stage_union"] = _nodes('query { Part { key } } then { startsExact { "small" in { name } } || regex { "gear$|bolt$" in { name } } }', "Part")
+_SQL["stage_union"] = "SELECT p_partkey AS key FROM part WHERE starts_with(p_name, 'small') OR regexp_matches(p_name, 'gear$|bolt$')"
+_QUERIES["stage_intersect"] = _nodes('query { Part { key } } then { findExact { "ring" } && common { Part { brand size } } }', "Part")
+_SQL["stage_intersect"] = "WITH m AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part) SELECT p_partkey AS key FROM m WHERE n > 1 AND (contains(p_name, 'ring') OR contains(p_brand, 'ring') OR contains(p_type, 'ring'))"
+_QUERIES["stage_except"] = _nodes('query { Part(size < 20) { key } } then { findWithout { "red" in { name } } } then { findWithout { "PROMO" } }', "Part")
+_SQL["stage_except"] = "SELECT p_partkey AS key FROM part WHERE p_size < 20 AND NOT contains(p_name, 'red') AND NOT (contains(p_name, 'PROMO') OR contains(p_brand, 'PROMO') OR contains(p_type, 'PROMO'))"
+_QUERIES["stage_scope"] = _nodes('query { Nation(key < 5) { key customers <- Customer(acctbal > 9000) { key } } } then { findExact { "Customer" } }', "Customer")
+_SQL["stage_scope"] = "SELECT c_custkey AS key FROM customer WHERE c_nationkey < 5 AND c_acctbal > 9000"
+
+# --- loads, checks, totals -------------------------------------------------------------
+
+
+@_query("WITH c AS (SELECT CAST(l_quantity AS VARCHAR) AS x FROM lineitem UNION ALL SELECT CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL SELECT l_returnflag FROM lineitem UNION ALL SELECT ' ' FROM lineitem UNION ALL SELECT CASE WHEN l_linenumber > 2 THEN ' true ' ELSE '12 34' END FROM lineitem) SELECT CASE WHEN trim(x) = '' THEN 'null' WHEN trim(x) IN ('true', 'false') THEN 'Bool' WHEN regexp_full_match(trim(x), '[+-]?[0-9]+') THEN 'Int' WHEN regexp_full_match(trim(x), '[+-]?[0-9]+[.][0-9]*') THEN 'Float' ELSE 'String' END AS kind, count(*) AS n FROM c GROUP BY 1")
+def cell_inference(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cells = F.array(F.col("l_quantity").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.lit(" "), F.when(F.col("l_linenumber") > 2, " true ").otherwise("12 34"))
+    return t.select(F.explode(cells).alias("x")).groupBy(values.cell_kind(F.col("x")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def unique_violations(spark, sf_dir):
+    return validate.unique_violations(shop(spark, sf_dir).node("Part"), "name")
+
+
+@_query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def single_violations(spark, sf_dir):
+    g = shop(spark, sf_dir)
+    found = validate.single_violations(g.rel("PLACED"), "src")
+    return g.node("Customer").join(found, "id").select("key", "n")
+
+
+@_query("SELECT 'field type changed' AS change, 'Part.name' AS subject, (SELECT count(*) FROM part WHERE TRY_CAST(trim(p_name) AS BIGINT) IS NULL) AS affected, 'Blocks' AS severity UNION ALL SELECT 'field added', 'Part.weight', (SELECT count(*) FROM part), 'Blocks' UNION ALL SELECT 'field removed', 'Part.brand', (SELECT count(*) FROM part WHERE p_brand IS NOT NULL), 'Blocks' UNION ALL SELECT 'relationship removed', 'Part.step', (SELECT 2 * count(*) FROM part), 'Blocks' UNION ALL SELECT 'required to optional', 'Part.size', 0, 'Safe'")
+def schema_diff_counts(spark, sf_dir):
+    from dataclasses import replace
+
+    from .plans.schema import Field
+
+    g = shop(spark, sf_dir)
+    part = g.schema.types["Part"]
+    fields = {n: f for n, f in part.fields.items() if n != "brand"}
+    fields |= {"name": Field("name", "Int"), "size": replace(fields["size"], optional=True), "weight": Field("weight", "Float")}
+    edges = {n: e for n, e in part.edges.items() if n != "step"}
+    new = replace(g.schema, types=g.schema.types | {"Part": replace(part, fields=fields, edges=edges)})
+    rows = [(c.change, c.subject, int(c.affected), c.severity) for c in diff.schema_diff(g, new).changes]
+    return spark.createDataFrame(rows, "change string, subject string, affected long, severity string")
+
+
+@_query("SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT 'Doc', count(*) FROM documents UNION ALL SELECT 'Vec', count(*) FROM embeddings UNION ALL SELECT 'Turn', count(*) FROM conversations UNION ALL SELECT 'Quarter', 28")
+def graph_counts(spark, sf_dir):
+    g = shop(spark, sf_dir)
+    rows = None
+    for n in g.nodes:
+        one = g.node(n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("label"), "n")
+        rows = one if rows is None else rows.unionAll(one)
+    return rows
+
+
+@_query("SELECT user_id AS key, min(v) AS low, max(v) AS high, arg_min(v, t) AS first_value, arg_max(v, t) AS last_value, count(*) AS n FROM (SELECT user_id, date_trunc('second', ts) AS t, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
+def history_summary(spark, sf_dir):
+    from .operators.temporal import summary
+
+    g = shop(spark, sf_dir)
+    return g.node("User").select("id", "key").join(summary(g.changes("User", "value")), "id").select("key", "low", "high", "first_value", "last_value", "n")
+
+
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS key, '{\"key\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS props FROM region")
+def export_regions(spark, sf_dir):
+    g = shop(spark, sf_dir)
+    found = export_nodes(g).filter(F.array_contains("labels", "Region"))
+    return found.select(F.get_json_object("props", "$.key").cast("long").alias("key"), "props")
+
+
+@_query("SELECT n_name AS nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def sql_pass_through(spark, sf_dir):
+    e = _engine(spark, sf_dir)
+    return e.sql("SELECT n.name AS nation, count(*) AS customers, round(sum(c.acctbal), 2) AS balance FROM Customer c JOIN rel_FROM r ON r.src = c.id JOIN Nation n ON n.id = r.dst GROUP BY n.name")
+
+
+@_query(f"WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS b FROM documents), c AS (SELECT doc_id, len(a) * 3 + len(b) AS l, len(list_filter(a, lambda x: x = 'the')) * 3 + len(list_filter(b, lambda x: x = 'the')) AS c0, len(list_filter(a, lambda x: x = 'und')) * 3 + len(list_filter(b, lambda x: x = 'und')) AS c1 FROM t), s AS (SELECT count(*) AS n, avg(l) AS d, sum(CASE WHEN c0 > 0 THEN 1 ELSE 0 END) AS d0, sum(CASE WHEN c1 > 0 THEN 1 ELSE 0 END) AS d1 FROM c) SELECT doc_id AS key, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * c0 * {search.K1 + 1} / (c0 + {search.K1} * ({1 - search.B} + {search.B} * l / d)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * c1 * {search.K1 + 1} / (c1 + {search.K1} * ({1 - search.B} + {search.B} * l / d)), 6) AS score FROM c, s WHERE c0 > 0 OR c1 > 0")
+def search_ranking(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"))
+    return search.bm25(docs, ["the", "und"]).select(F.col("id").alias("key"), F.round("score", 6).alias("score"))
+
+
+@_query(f"SELECT lang, count(DISTINCT {_FOLD}) AS n FROM documents GROUP BY 1")
+def folded_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("lang", folded(F.col("text")).alias("f")).groupBy("lang").agg(F.count_distinct("f").alias("n"))
+
+
+@_query()
+def vector_view(spark, sf_dir):
+    """Three principal axes of all vectors (eigenvectors: no SQL for that)."""
+    from .operators.vector_view import principal_axes
+
+    g = shop(spark, sf_dir)
+    rows = g.node("Vec").select("id", "key", F.col("embedding").alias("v"))
+    out = principal_axes(rows.select("id", "v"), 3)
+    return rows.join(out, "id").select("key", *[F.round(F.get("axes", F.lit(i)), 5).alias(f"axis{i + 1}") for i in range(3)])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Nations with their three richest customers, nested."""
+    return _engine(spark, sf_dir).nested('{ Nation(name startsExact "NATION_1") { name customers <- Customer(acctbal > 0) order by acctbal desc limit 3 { name acctbal } } }')
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
