@@ -15,7 +15,7 @@ piece weights start from the vocabulary's own scores and are re-estimated on
 the distinct training words (expectation over all segmentations).
 
 Plan.  Words are counted with a map-side sum and one shuffle.  The most
-frequent ``HEAD`` words (a fixed bound) go to all workers with their log
+frequent words (at most ``HEAD``, a fixed bound) go to all workers with their log
 probabilities; other words of a document are shuffled by word to meet their
 counts and summed back by document.  Distinct words are a table that grows
 with the corpus and is never collected.
@@ -275,6 +275,23 @@ def _log_terms(model: Model, df: DataFrame) -> DataFrame:
     return df.mapInArrow(terms, f"{schema}, lp double")
 
 
+def _head_count(words: DataFrame, most: int = HEAD) -> float:
+    """The least power of 2 ** (1/8) that at most ``most`` words reach with their counts.
+
+    Words are counted by the logarithm of their count, a few hundred groups
+    at any size, so no task ranks the words.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = words.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
+    total, least = 0, float("inf")
+    for b, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = 2 ** (b / 8) * (1 - 1e-12)
+    return least
+
+
 def scores(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     import math
@@ -283,7 +300,7 @@ def scores(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
     common.small_batches(spark)
     n, v = model.n, model.v
     inner = model.words.filter(F.col("word") != F.lit(END))
-    head = inner.orderBy(F.desc("c"), "word").limit(HEAD)
+    head = inner.filter(F.col("c") >= _head_count(inner))
     head_rows = _log_terms(model, common.staged(head, "head")).collect()
     table = {bytes(r.word): (r.c, r.lp) for r in head_rows}
     shared = spark.sparkContext.broadcast((list(table), [x[0] for x in table.values()], [x[1] for x in table.values()]))
