@@ -185,7 +185,7 @@ def series_week(spark, sf_dir):
     return df.select("key", F.explode("value").alias("x")).select("key", "x.time", "x.value")
 
 
-_flat("ever_always", "{ User(ever value >= 500 && always value > -1) { key } }", f"WITH {_HIST} SELECT user_id AS key FROM h GROUP BY 1 HAVING bool_or(v >= 500) AND bool_and(v > -1)")
+_flat("ever_always", "{ User(ever value >= 200 && always value < 400) { key } }", f"WITH {_HIST} SELECT user_id AS key FROM h GROUP BY 1 HAVING bool_or(v >= 200) AND bool_and(v < 400)")
 _flat(
     "always_during",
     "{ User(always value < 120 during 2024-01-10 to 2024-01-11) { key } }",
@@ -232,8 +232,8 @@ def _edges(text: str, measure: str | None = None) -> Query:
 
 _QUERIES["common_star"] = _edges("query { Part { key } } then { common { Part { brand size } } }")
 _SQL["common_star"] = "WITH m AS (SELECT p_partkey, p_brand, p_size, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS c FROM part) SELECT c AS a, p_partkey AS b, '[\"' || p_brand || '\",' || p_size || ']' AS value FROM m WHERE c <> p_partkey"
-_QUERIES["similar_pairs"] = _edges("query { Vec { key } } then { similar { &embedding > 0.9 } }", "score")
-_SQL["similar_pairs"] = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.9"
+_QUERIES["similar_pairs"] = _edges("query { Vec { key } } then { similar { &embedding > 0.35 } }", "score")
+_SQL["similar_pairs"] = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.35"
 _QUERIES["near_pairs"] = _edges("query { Customer { key } } then { near { &at < 300 km } }", "distance")
 _P = "SELECT c_custkey AS k, CAST(c_custkey * 37 % 120 - 60 AS DOUBLE) AS lat, CAST(c_custkey * 73 % 360 - 180 AS DOUBLE) AS lon FROM customer"
 _SQL["near_pairs"] = f"WITH p AS ({_P}), d AS (SELECT a.k AS a, b.k AS b, {_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM p a JOIN p b ON a.k < b.k AND abs(a.lat - b.lat) <= 3) SELECT a, b, round(m, 2) AS distance FROM d WHERE m < 300000"
