@@ -164,4 +164,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("text"))
     found = measures(whole, keep=("_row",))
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return found.filter(~base_failed & verdict(rules)).select("_row.*")
+    found = found.select("_row", (~base_failed & verdict(rules)).alias("_kept"))
+    # A filter would be pushed through the projections, which repeats the
+    # measures in it once for every mention; a generator is not.
+    return found.select(F.inline(F.when(F.col("_kept"), F.array("_row"))))
