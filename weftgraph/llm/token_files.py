@@ -33,6 +33,9 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
 CHUNK_CACHE = 500_000
+GROUP = 500  # chunks that are encoded as one text
+WORD_END = "</w>"
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 BLOCK = 512
 
 SHARD_SCHEMA = "part int, shard int, n long, bits int, doc_ids binary, null_ids binary, ends binary, planes array<binary>, ranks array<binary>, zeros array<long>"
@@ -167,15 +170,18 @@ class Encoder:
 
     The tokenizer's normaliser turns white space to spaces and lowers case,
     and its pre-tokenizer drops spaces, so chunks between white space are
-    independent, ASCII capitals do not matter, and a final comma or full stop
-    after a letter or digit is a pre-token of its own.  Chunks that the cache
-    lacks are encoded many at a time, set apart by a special token.
+    independent, ASCII capitals do not matter, and signs at the end, after a
+    letter or digit, are a pre-token of their own.  Chunks that the cache lacks
+    are encoded many at a time: words of letters set apart by their word-end
+    tokens, others by a special token.
     """
 
     def __init__(self, tokenizer_file: str):
         import json
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,6 +190,10 @@ class Encoder:
             special = [t for t in json.load(f)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
         self.special = [t["content"].encode() for t in special]
         self.mark = (special[0]["content"], special[0]["id"]) if special else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.closing[i] = token.endswith(WORD_END)
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -192,44 +202,94 @@ class Encoder:
 
     def _fill(self, chunks) -> None:
         """Put every one of ``chunks`` into the cache."""
-        import numpy as np
-
         cache, old, parts, wanted = self.cache, self.old, [], set()
+        special = any(s in b"\n".join(chunks) for s in self.special)
+        alone = {c for c in chunks if any(s in c for s in self.special)} if special else set()
         for c in chunks:
             if c in old:
                 cache[c] = old[c]
-            elif c[-1:] in b",." and c[-2:-1].isalnum():
-                parts.append(c)
-                wanted.add(c[:-1])
-                wanted.add(c[-1:])
+                continue
+            head = c.rstrip(PUNCTUATION)
+            if head and head != c and c not in alone and self._letter_last(head):
+                parts.append((c, head))
+                wanted.add(head)
+                wanted.add(c[len(head) :])
             else:
                 wanted.add(c)
-        missing = list(wanted.difference(cache))
-        if self.mark is None or any(s in b"\n".join(missing) for s in self.special):
-            alone = [c for c in missing if self.mark is None or any(s in c for s in self.special)]
-            missing = list(set(missing).difference(alone))
-            for c, ids in zip(alone, self._ids([c.decode("utf-8", "surrogatepass") for c in alone])):
-                cache[c] = np.asarray(ids, "<u4").tobytes()
-        groups = [missing[i : i + 500] for i in range(0, len(missing), 500)]
-        between = f" {self.mark[0]} ".encode() if self.mark else b""
-        for g, ids in zip(groups, self._ids([between.join(g).decode("utf-8", "surrogatepass") for g in groups])):
+        missing = wanted.difference(cache)
+        texts = [c.decode("utf-8", "surrogatepass") for c in missing.difference(alone)]
+        words = [t for t in texts if t.isalpha()]
+        rest = [t for t in texts if not t.isalpha()]
+        odd = missing.intersection(alone)
+        for c, ids in zip(odd, self._ids([c.decode("utf-8", "surrogatepass") for c in odd])):
+            self._put(c, ids)
+        rest += self._put_words([words[i : i + GROUP] for i in range(0, len(words), GROUP)])
+        if self.mark is None:
+            for t, ids in zip(rest, self._ids(rest)):
+                self._put(t.encode("utf-8", "surrogatepass"), ids)
+        else:
+            self._put_marked([rest[i : i + GROUP] for i in range(0, len(rest), GROUP)])
+        for c, head in parts:
+            cache[c] = cache[head] + cache[c[len(head) :]]
+
+    @staticmethod
+    def _letter_last(head: bytes) -> bool:
+        """Whether a letter or ASCII digit comes last, so that the signs after it are a pre-token."""
+        return head[-1:].isalnum() or (head[-1] > 0x7F and head[-4:].decode("utf-8", "ignore")[-1:].isalpha())
+
+    def _put(self, chunk: bytes, ids) -> None:
+        import numpy as np
+
+        self.cache[chunk] = np.asarray(ids, "<u4").tobytes()
+
+    def _cut(self, texts: list[str], data: bytes, starts, ends) -> None:
+        for t, i, j in zip(texts, starts, ends):
+            self.cache[t.encode("utf-8", "surrogatepass")] = data[i:j]
+
+    def _put_words(self, groups: list[list[str]]) -> list[str]:
+        """Encode groups of words of letters, each one pre-token that a word-end token closes.
+
+        Words of groups that do not come out so are returned.
+        """
+        import numpy as np
+
+        odd: list[str] = []
+        for g, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            ids = np.asarray(ids, "<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(ends) != len(g) or ends[-1] != 4 * len(ids):
+                odd += g
+                continue
+            ends = ends.tolist()
+            self._cut(g, ids.tobytes(), [0, *ends], ends)
+        return odd
+
+    def _put_marked(self, groups: list[list[str]]) -> None:
+        """Encode groups of chunks set apart by a special token."""
+        import numpy as np
+
+        for g, ids in zip(groups, self._ids([f" {self.mark[0]} ".join(g) for g in groups])):
             ids = np.asarray(ids, "<u4")
-            cuts = [*(np.flatnonzero(ids == self.mark[1]) * 4).tolist(), 4 * len(ids)]
-            data, at = ids.tobytes(), 0
-            for c, cut in zip(g, cuts):
-                cache[c] = data[at:cut]
-                at = cut + 4
-        for c in parts:
-            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+            marks = np.flatnonzero(ids == self.mark[1]) * 4
+            self._cut(g, ids.tobytes(), [0, *(marks + 4).tolist()], [*marks.tolist(), 4 * len(ids)])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.cache) >= CHUNK_CACHE:
             self.cache, self.old = {}, self.cache
-        split = [self._chunks(t) for t in texts]
-        self._fill(set().union(*split).difference(self.cache))
-        at = self.cache.__getitem__
-        return [b"".join(map(at, chunks)) for chunks in split]
+        rows, missing, known = [], set(), self.cache.get
+        for t in texts:
+            chunks = self._chunks(t)
+            found = list(map(known, chunks))
+            gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
+            lacking = [chunks[i] for i in gaps]
+            missing.update(lacking)
+            rows.append((found, gaps, lacking))
+        self._fill(missing)
+        for found, gaps, lacking in rows:
+            for i, c in zip(gaps, lacking):
+                found[i] = self.cache[c]
+        return [b"".join(found) for found, _, _ in rows]
 
     def _chunks(self, text: str | None) -> list[bytes]:
         data = text.encode("utf-8", "surrogatepass") if text else b""
