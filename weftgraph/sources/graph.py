@@ -201,7 +201,7 @@ def save(graph: Graph, path: str) -> int:
     The pointer to the current version is moved last, so a reader sees the
     old version or the new one, never a mixture.  Returns the version.
     """
-    spark, current = graph.spark, _get(graph.spark, f"{path}/_CURRENT")
+    spark, current = graph.spark, _get(graph.spark, f"{path}/CURRENT")
     version = int(current) + 1 if current else 1
     base = f"{path}/v={version}"
     manifest = {"schema": graph.schema.written(), "nodes": sorted(graph.nodes), "rels": sorted(graph.rels), "history": sorted(f"{a}.{b}" for a, b in graph.history), "intervals": sorted(graph.intervals), "multi_label": graph.multi_label}
@@ -214,10 +214,10 @@ def save(graph: Graph, path: str) -> int:
     for k in graph.intervals:
         graph.interval(k).write.mode("overwrite").parquet(f"{base}/intervals/{k}")
     _put(spark, f"{base}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
-    p, fs = _hadoop(spark, f"{path}/_CURRENT")
-    _put(spark, f"{path}/_CURRENT.next", str(version))
+    p, fs = _hadoop(spark, f"{path}/CURRENT")
+    _put(spark, f"{path}/CURRENT.next", str(version))
     fs.delete(p, False)
-    fs.rename(_hadoop(spark, f"{path}/_CURRENT.next")[0], p)
+    fs.rename(_hadoop(spark, f"{path}/CURRENT.next")[0], p)
     return version
 
 
@@ -226,7 +226,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Graph:
     from ..plans.parser import parse_schema
 
     if version is None:
-        current = _get(spark, f"{path}/_CURRENT")
+        current = _get(spark, f"{path}/CURRENT")
         if current is None:
             raise FileNotFoundError(f"no graph at {path}")
         version = int(current)
