@@ -8,7 +8,8 @@ For each source, its documents are counted by exact size.  The target is met
 by whole passes over the source, then by documents taken once more: an even
 share of every size, then the largest sizes that still fit, and for what is
 left of the budget a bounded-knapsack dynamic programme over the counts that
-remain (a bit set of reachable sums, at most ``DP_WORDS`` wide).  Which
+remain (a bit set of reachable sums, at most ``DP_WORDS`` wide).  The same for
+the documents left out gives the nearest sum above; the nearer one is taken.  Which
 documents of a size are taken is drawn by a seeded hash: the plan says how
 many, a hash bucket's place tells which, so no group is ranked as a whole.
 
@@ -90,6 +91,21 @@ def fit(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[i
     return {s: k for s, k in take.items() if k}
 
 
+def nearest(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
+    """Like ``fit``, or above the budget where that comes nearer to it.
+
+    The least sum above is what the best fit of the rest leaves over.
+    """
+    total = sum(s * c for s, c in counts.items())
+    below = fit(counts, budget, dp_words)
+    if not 0 < budget < total:
+        return below
+    left_over = fit(counts, total - budget, dp_words)
+    above = {s: c - left_over.get(s, 0) for s, c in counts.items() if s > 0 and c > left_over.get(s, 0)}
+    size = lambda take: sum(s * k for s, k in take.items())
+    return above if size(above) - budget < budget - size(below) else below
+
+
 def _draw(seed: int):
     """The seeded hash of a row; equal for identical rows only."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"), F.coalesce("source", F.lit("")), F.col("doc_id").isNull(), F.col("source").isNull(), F.lit(seed))
@@ -116,7 +132,7 @@ def _plan(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole, goal = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
         passes = min(MOST, int(goal // whole)) if whole else 0
         counts = {int(s): int(c) for s, c in zip(part["size"], part["c"])}
-        extra = fit(counts, round(goal) - passes * whole) if passes < MOST else {}
+        extra = nearest(counts, round(goal) - passes * whole) if passes < MOST else {}
         sizes = sorted(counts)
         return pd.DataFrame({"no": key[0], "size": sizes, "passes": passes, "extra": [extra.get(s, 0) for s in sizes]})
 
