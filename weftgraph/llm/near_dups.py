@@ -38,7 +38,6 @@ from .components import components
 COORDINATES, BANDS, ROWS = 128, 32, 4
 CIRCLE = 1 << 22
 BITS_LEAST = 98
-WORD_CACHE = 300_000
 
 
 class Signer:
@@ -49,7 +48,6 @@ class Signer:
         import xxhash
 
         self.np, self.k, self.digest = np, shingle, xxhash.xxh3_64_intdigest
-        self.words = common.Generations(xxhash.xxh3_64_intdigest, WORD_CACHE)
         pi = np.random.RandomState(20240229).permutation(CIRCLE).astype(np.int32)
         ring = np.concatenate([pi, pi[: COORDINATES - 1]])
         self.windows = np.lib.stride_tricks.sliding_window_view(ring, COORDINATES)
@@ -61,8 +59,7 @@ class Signer:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        self.words.trim()
+        h = np.fromiter(map(self.digest, words), np.uint64, len(words))
         n = max(1, len(words) - self.k + 1)
         m = np.uint64(0x9E3779B97F4A7C15)
         out = np.full(n, min(self.k, len(words)), np.uint64)

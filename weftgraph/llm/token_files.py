@@ -32,7 +32,7 @@ from . import common
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
-CHUNK_CACHE = 500_000
+CHUNK_CACHE = 400_000
 GROUP = 500  # chunks that are encoded as one text
 WORD_END = "</w>"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
