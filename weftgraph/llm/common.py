@@ -98,6 +98,29 @@ class Generations(dict):
         return value
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """The one large object that a worker process keeps between tasks.
+
+    Another key replaces it, so a worker that serves several stages holds the
+    tables and caches of one.
+    """
+    if key not in _HELD:
+        import ctypes
+        import gc
+
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # give the memory back
+        except (OSError, AttributeError):
+            pass
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for t in tables:

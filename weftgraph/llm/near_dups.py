@@ -110,14 +110,9 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(signed, f"doc_id {kind}, n_shingles long, node long, bands array<long>, b1 long, b2 long")
 
 
-_SIGNERS: dict = {}
-
-
 def _signer(shingle: int) -> Signer:
     """One signer for each worker process."""
-    if shingle not in _SIGNERS:
-        _SIGNERS[shingle] = Signer(shingle)
-    return _SIGNERS[shingle]
+    return common.held(("signer", shingle), lambda: Signer(shingle))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:

@@ -32,7 +32,7 @@ from . import common
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
-CHUNK_CACHE = 400_000
+CHUNK_CACHE = 250_000
 GROUP = 500  # chunks that are encoded as one text
 WORD_END = "</w>"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -300,13 +300,9 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-_ENCODERS: dict = {}
-
-
 def _encoder(tokenizer_file: str) -> Encoder:
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
+    """One encoder for each worker process."""
+    return common.held(("encoder", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 def _parts(docs: DataFrame) -> int:
