@@ -55,6 +55,21 @@ def test_secrets_are_kept_and_look_alikes_go(spark, forest):
     assert secrets.secrets(cases.frame(spark).filter("false"), forest).count() == 0
 
 
+def test_secrets_of_any_length_are_whole(spark, forest):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows, want = [], {}
+    for i, n in enumerate((200, 201, 1600, 40_000)):
+        for k, head in enumerate(("", 'token = "', "ghp_")):
+            value = head + key(n)
+            rows.append((10 * i + k, f"see {value} here", "en", "web", 0))
+            want[10 * i + k] = (4, value, True)
+    rows.append((99, "x " + "=" * 5000 + " y", "en", "web", 0))
+    got = {r.doc_id: (r.start, r.candidate, r.kept) for r in secrets.secrets(cases.frame(spark, rows), forest).collect()}
+    assert got.pop(99) == (2, "=" * 5000, False)
+    assert got == want
+
+
 # --- pseudonyms ----------------------------------------------------------------------
 
 

@@ -29,10 +29,10 @@ THRESHOLD = 0.5
 
 _NAME = r"(?i:[A-Za-z_.-]{0,30}(?:pass(?:word|wd)?|secret|token|api[_-]?key|credential|auth)[A-Za-z_.-]{0,20})"
 CANDIDATE = (
-    rf"{_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"'<>&]{{8,200}}"
+    rf"{_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"'<>&]{{8,}}+"
     r"|(?<![A-Za-z0-9_])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9_])(?:ghp|gho|ghs|ghu|glpat|xox[abp]|sk|pk|rk)[_-][A-Za-z0-9_-]{16,200}"
-    r"|(?<![A-Za-z0-9+/=_.@-])[A-Za-z0-9+/=_-]{20,200}(?![A-Za-z0-9+/=_@-])"
+    r"|(?<![A-Za-z0-9_])(?:ghp|gho|ghs|ghu|glpat|xox[abp]|sk|pk|rk)[_-][A-Za-z0-9_-]{16,}+"
+    r"|(?<![A-Za-z0-9+/=_.@-])[A-Za-z0-9+/=_-]{20,}+(?![A-Za-z0-9+/=_@-])"
 )
 _VALUE = rf"^{_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?"
 #: Words and letter groups of common prose and names; what they cover of a candidate is not random.
