@@ -113,6 +113,22 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pseudonyms.pseudonymised(df.filter("false")).count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"pay {card} 123 now", "pay 4111111111111111 12/26", f"3 {card}", f"{card} 5500 0000 0000 0004 77", "4111-1111-1111-1111-123", f"at {card} 12/05/2024", f"1 2 {card} 123 4567 8901", f"7 {card} 123-45-6789"]
+    texts += [" ".join(map(str, range(1, 60)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(df).collect()}
+    for i, t in enumerate(texts[:-1]):
+        assert "1111" not in got[i].text and len(got[i].text) == len(t), got[i].text
+        new = [f.pseudonym for f in got[i].findings if f.kind == "card"]
+        assert new and all(_luhn(re.sub(r"\D", "", x)) for x in new)
+    same = {re.sub(r"\D", "", f.pseudonym) for r in got.values() for f in r.findings if re.sub(r"\D", "", f.found) == "4111111111111111"}
+    assert len(same) == 1 and got[3].n_replaced == 2 and got[0].text.endswith(" 123 now") and got[1].text.endswith(" 12/26")
+    assert [f.kind for f in got[5].findings] == ["card", "date"] and [f.kind for f in got[7].findings] == ["card", "ssn"]
+    assert got[8].text == texts[8]
+
+
 def test_pseudonyms_permute(spark):
     """Different values stay different: all days of some years, and a block of addresses."""
     days = [(i, str(datetime.date(1960, 1, 1) + datetime.timedelta(i))) for i in range(1500)]

@@ -3,7 +3,9 @@
 Found are card numbers (Luhn), international phone numbers, IPv4 addresses,
 IBANs (mod 97), numbers of the form 123-45-6789, dates from 1900 to 2099 and
 the local parts of e-mail addresses.  What fails its validation stays as it
-is.  Each valid value is permuted among the values of its format by a keyed
+is; of a run of digit groups that is no card as a whole, sub-runs are tried
+whose groups, but the last, have three digits or more, so that tables of small
+numbers stay.  Each valid value is permuted among the values of its format by a keyed
 Feistel network over its two halves, so that
 
 * equal values get equal pseudonyms, in all documents and under any
@@ -36,9 +38,14 @@ _IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
-_CARD = r"\d(?:[ -]?\d){12,18}"
-FORMS = dict(zip(KINDS, (_EMAIL, _PHONE, _IBAN, _IP, _DATE, _SSN, _CARD)))
-PATTERN = r"(?<![\p{L}\p{N}_.@+-])(?:" + "|".join(FORMS[k] for k in KINDS) + r")(?![\p{L}\p{N}_@]|[.-]\d)"
+_TAIL = r"(?![\p{L}\p{N}_@]|[.-]\d)"
+#: A whole run of digit groups; it ends before a value of another kind and before a group that belongs to a word.
+_GROUP = r"\d++(?!(?:-\d++)*+(?:[\p{L}\p{N}_@]|\.\d))"
+_CARD = rf"(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -](?!(?:{_EMAIL}|{_IP}|{_DATE}|{_SSN}){_TAIL}){_GROUP})*+"
+FORMS = dict(zip(KINDS, (_EMAIL, _PHONE, _IBAN, _IP, _DATE, _SSN, r"\d[\d -]{12,}+")))
+PATTERN = r"(?<![\p{L}\p{N}_.@+-])(?:" + "|".join({**FORMS, "card": _CARD}[k] for k in KINDS) + ")" + _TAIL
+#: Groups of cards as they are printed.
+_PRINTED = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$"
 
 
 def _hash(key: str, round_: Column, half: Column, label: str) -> Column:
@@ -154,6 +161,10 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _card_valid(d: Column) -> Column:
+    return F.length(d).between(13, 19) & (_luhn(d, 0) % 10 == 0) & d.rlike("[1-9]")
+
+
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
 
@@ -161,8 +172,54 @@ def _card(m: Column, key: str) -> Column:
         body = F.concat(F.substring(d, 1, 1), _permuted(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
         return _bound(body, lambda b: F.concat(b, ((10 - _luhn(b, 1) % 10) % 10).cast("string")))
 
-    valid = lambda d: (F.length(d).between(13, 19)) & (_luhn(d, 0) % 10 == 0) & d.rlike("[1-9]")
-    return _bound(digits, lambda d: F.when(valid(d), _refilled(m, new(d))))
+    return _bound(digits, lambda d: F.when(_card_valid(d), _refilled(m, new(d))))
+
+
+def _card_places(m: Column) -> Column:
+    """array of struct(rank, at, size): the cards in a run of digit groups, in order, none over another.
+
+    The whole run is tried first, then sub-runs between separators: those
+    grouped as cards are printed, then the others, longer ones first.
+    """
+    sizes = F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), 0), lambda g: F.length(g))
+    first = F.struct(F.lit(1).alias("at"), F.lit(0).alias("size"))
+    groups = F.slice(F.aggregate(sizes, F.array(first), lambda a, n: F.concat(a, F.array(F.struct((F.element_at(a, -1).at + F.element_at(a, -1).size + (F.size(a) > 1).cast("int")).alias("at"), n.alias("size"))))), 2, 1_000_000_000)
+
+    def from_(groups):
+        def ends(g, i):
+            return F.transform(F.slice(groups, i + 1, F.lit(19)), lambda e: F.struct(g["at"].alias("at"), (e["at"] + e["size"] - g["at"]).alias("size")))
+
+        def ranked(x):
+            sub = F.substring(m, x["at"], x["size"])
+            whole = x["size"] == F.length(m)
+            printed = sub.rlike(_PRINTED)
+            wide = sub.rlike(r"^(?:\d{3,}[ -])*\d+$")
+            valid = (whole | wide) & _card_valid(F.regexp_replace(sub, "[^0-9]", ""))
+            rank = F.when(whole, 0).when(printed, 1).otherwise(2)
+            return F.struct(F.when(valid, rank).alias("rank"), (-x["size"]).alias("short"), x["at"].alias("at"), x["size"].alias("size"))
+
+        found = F.filter(F.transform(F.filter(F.flatten(F.transform(groups, ends)), lambda x: x["size"].between(13, 37)), ranked), lambda x: x["rank"].isNotNull())
+        none = F.array().cast("array<struct<rank:int,short:int,at:int,size:int>>")
+        apart = lambda a, x: ~F.exists(a, lambda y: (x["at"] < y["at"] + y["size"]) & (y["at"] < x["at"] + x["size"]))
+        taken = F.aggregate(F.array_sort(found), none, lambda a, x: F.when(apart(a, x), F.concat(a, F.array(x))).otherwise(a))
+        return F.array_sort(F.transform(taken, lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"))))
+
+    return _bound(groups, from_)
+
+
+def _card_pieces(m: Column, key: str) -> Column:
+    """The run in pieces, struct(found, kind, pseudonym); what is no card has no pseudonym."""
+    kind = F.lit("card")
+    piece = lambda t, value: F.struct(t.alias("found"), kind.alias("kind"), value.alias("pseudonym"))
+    rest = F.lit(None).cast("string")
+
+    def step(acc, x):
+        card = F.substring(m, x["at"], x["size"])
+        gap = F.substring(m, acc["next"], x["at"] - acc["next"])
+        return F.struct((x["at"] + x["size"]).alias("next"), F.concat(acc["out"], F.array(piece(gap, rest), piece(card, _card(card, key)))).alias("out"))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<found:string,kind:string,pseudonym:string>>").alias("out"))
+    return F.aggregate(_card_places(m), start, step, lambda a: F.concat(a["out"], F.array(piece(F.substring(m, a["next"], F.length(m)), rest))))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -236,14 +293,16 @@ _MAKERS = {"email": _email, "phone": _phone, "iban": _iban, "ip": _ip, "date": _
 
 
 def _pseudonym(m: Column, key: str) -> Column:
-    """struct(kind, value) of a match; value null where nothing is valid."""
+    """array of struct(found, kind, pseudonym): the pieces of a match; pseudonym null where nothing is valid."""
     kind = F.lit(None).cast("string")
     value = F.lit(None).cast("string")
-    for k in reversed(KINDS):
+    for k in [k for k in reversed(KINDS) if k != "card"]:
         here = m.rlike(f"^(?:{FORMS[k]})$")
         kind = F.when(here, F.lit(k)).otherwise(kind)
         value = F.when(here, _MAKERS[k](m, key)).otherwise(value)
-    return F.struct(m.alias("found"), kind.alias("kind"), value.alias("pseudonym"))
+    one = F.array(F.struct(m.alias("found"), kind.alias("kind"), value.alias("pseudonym")))
+    other = m.rlike("^(?:" + "|".join(FORMS[k] for k in KINDS if k != "card") + ")$")
+    return F.when(m.rlike(f"^(?:{FORMS['card']})$") & ~other, _card_pieces(m, key)).otherwise(one)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,8 +315,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_
     base = base.select("doc_id", "_t", F.when(some, F.regexp_extract_all("_t", F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")).alias("_m"))
     base = base.select("doc_id", "_t", F.transform("_m", lambda m: _pseudonym(m, key)).alias("_f"))
     between = F.split("_t", PATTERN, -1)
-    put = F.transform("_f", lambda f: F.coalesce(f.pseudonym, f.found))
+    put = F.transform("_f", lambda pieces: F.array_join(F.transform(pieces, lambda f: F.coalesce(f.pseudonym, f.found)), ""))
     joined = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    replaced = F.filter("_f", lambda f: f.pseudonym.isNotNull())
-    out = base.select("doc_id", F.when(F.size("_f") > 0, joined).otherwise(F.col("_t")).alias("text"), F.coalesce(replaced, F.array().cast(base.schema["_f"].dataType)).alias("findings"))
+    replaced = F.filter(F.flatten("_f"), lambda f: f.pseudonym.isNotNull())
+    out = base.select("doc_id", F.when(F.size("_f") > 0, joined).otherwise(F.col("_t")).alias("text"), F.coalesce(replaced, F.array().cast(base.schema["_f"].dataType.elementType)).alias("findings"))
     return out.select("*", F.size("findings").cast("long").alias("n_replaced"))
