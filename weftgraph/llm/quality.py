@@ -4,10 +4,15 @@ Every rule is a row (name, measure, low, high); a text passes it if its
 measure lies within the bounds.  ``measures`` is a projection of built-in
 expressions over one row, so there is no shuffle and no user function.
 
+Words are compared by 64-bit hashes when repeated windows are sought: two
+windows count as equal if their three hashes are, which for different windows
+of one text happens with odds of about 1 to 2 ** 64 a pair.
+
 Null texts count as empty.  An empty text has no words, so every count is 0,
 every ratio is 0 and it fails the rule on length.  Repeated rows are measured
 each on its own; columns of the input whose names clash with a measure are
-not read and, in ``keep_good``, come back unchanged.
+not read and, in ``keep_good``, come back unchanged.  A very long text takes
+memory in proportion to its own length; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -50,33 +55,30 @@ RULES = (
 def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns beside every measure that a rule may name."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    base = docs.select(*[docs[c] for c in keep], text.alias("_t"))
-    words = F.filter(F.split("_t", common.GAP), lambda w: w != "")
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(common.WORD))
+    base = docs.select(*[docs[c] for c in keep], text.alias("_t"))
+    # Each projection drops what the next does not need: lines are gone before
+    # words are cut, and words live on as one array of longs.
+    base = base.select(*keep, "_t", lines.alias("_l"))
     base = base.select(
         *keep,
-        words.alias("_w"),
-        lines.alias("_l"),
+        F.size("_l").cast("long").alias("n_lines"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         (F.length("_t") - F.regexp_count("_t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.split("_t", common.GAP).alias("_w"),
     )
-    n = F.size("_w").cast("long")
-    base = base.select(
-        *keep,
-        "word_chars",
-        "n_symbols",
-        "n_upper",
-        n.alias("n_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _stop_words("_w").alias("n_stop_words"),
-        "_w",
-        F.length(F.bin(F.size("_w"))).alias("_b"),  # low bits that hold a place in _w
-    )
-    base = base.select("*", _packed("_w", "_b").alias("_s"))
-    base = base.select(*[c for c in base.columns if c != "_s"], _repeated_positions("_w", "_s", "_b").alias("_p"))
-    base = base.select(*[c for c in base.columns if c not in ("_w", "_p", "_b")], _covered("_p").alias("n_repeat_words"))
+    done = ["n_lines", "n_dup_lines", "word_chars", "n_symbols", "n_upper"]
+    hashed = F.transform(F.filter("_w", lambda w: w != ""), lambda w: F.xxhash64(w))
+    base = base.select(*keep, *done, _stop_words("_w").alias("n_stop_words"), hashed.alias("_h"))
+    done += ["n_stop_words"]
+    n = F.size("_h")
+    base = base.select(*keep, *done, n.cast("long").alias("n_words"), "_h", F.length(F.bin(n)).alias("_b"))  # low bits that hold a place in _h
+    done += ["n_words"]
+    base = base.select(*keep, *done, "_h", "_b", _packed("_h", "_b").alias("_s"))
+    base = base.select(*keep, *done, _repeated_positions("_h", "_s", "_b").alias("_p"))
+    base = base.select(*keep, *done, _covered("_p").alias("n_repeat_words"))
 
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -97,35 +99,39 @@ def _stop_words(words: str) -> Column:
     return F.size(F.filter(F.col(words), lambda w: F.lower(w).isin(*listed))).cast("long")
 
 
-def _packed(words: str, bits: str) -> Column:
+def _packed(hashes: str, bits: str) -> Column:
     """Sorted longs: high bits hash a three-word window, low bits are its place."""
+    h = F.col(hashes)
+    n = F.greatest(F.size(h) - 2, F.lit(0))
 
-    def one(i):
-        at = lambda k: F.get(F.col(words), i + k)
-        h = F.xxhash64(at(0), at(1), at(2))
-        return F.call_function("shiftleft", h, F.col(bits)).bitwiseOR(i.cast("long"))
+    def one(x, i):
+        window = F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))
+        return F.call_function("shiftleft", window, F.col(bits)).bitwiseOR(i.cast("long"))
 
-    places = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.transform(places, one))
+    return F.sort_array(F.transform(F.slice(h, F.lit(1), n), one))
 
 
-def _repeated_positions(words: str, packed: str, bits: str) -> Column:
-    """Places of windows whose three words occur at another place too."""
-    s, bits = F.col(packed), F.col(bits)
+def _repeated_positions(hashes: str, packed: str, bits: str) -> Column:
+    """Sorted places of windows whose three words occur at another place too."""
+    h, s, bits = F.col(hashes), F.col(packed), F.col(bits)
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
+    def place(x):
+        return x.bitwiseAND(mask).cast("int")
+
     def alike(a, b):
-        """Both places if the windows at a and b have the same three words."""
-        i, j = [x.bitwiseAND(mask).cast("int") for x in (a, b)]
-        w = F.col(words)
+        """Whether the windows at a and b have the same three words."""
+        i, j = place(a), place(b)
         same = F.call_function("shiftright", a.bitwiseXOR(b), bits) == 0
         for k in range(3):
-            same = same & (F.get(w, i + k) == F.get(w, j + k))
-        return F.when(same, F.array(i, j))
+            same = same & (F.get(h, i + k) == F.get(h, j + k))
+        return same
+
+    def met(x, i):
+        before, after = F.get(s, i - 1), F.get(s, i + 1)
+        return F.coalesce(alike(x, after), F.lit(False)) | F.coalesce(alike(before, x), F.lit(False))
 
-    following = F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(s, following, alike), lambda x: x.isNotNull())
-    return F.sort_array(F.array_distinct(F.flatten(pairs)))
+    return F.sort_array(F.transform(F.filter(s, met), place))
 
 
 def _covered(places: str) -> Column:
