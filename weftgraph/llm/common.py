@@ -28,21 +28,28 @@ def tokenizer_path(name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows (hence bytes) a Python worker holds at once."""
+    """Bound what a Python worker is handed at once, by rows; lasts for the session.
+
+    Spark reads the bound when a query starts, after these operators return,
+    so it cannot be put back here.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests in one process) a temporary folder is taken and remembered.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset a
+    temporary folder is taken and remembered in a local session, which is one
+    process; a cluster is asked to name a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isDefined():
             return checkpoint.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="weftgraph-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -61,7 +68,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def size_at_most(df: DataFrame, rows: int) -> bool:
@@ -73,6 +82,27 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def batched(batches, most: int):
+    """The same rows in batches of about ``most`` bytes of text, but one text at least."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for b in batches:
+        sizes = pc.binary_length(b.column("text")).fill_null(0).to_numpy()
+        part = (np.cumsum(sizes, dtype=np.int64) + size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        for i, j in zip(cuts, cuts[1:]):
+            held.append(b.slice(i, j - i))
+            size += int(sizes[i:j].sum())
+            if size >= most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Generations(dict):
     """A dict that fills itself through ``make`` and stays bounded.
 
@@ -111,8 +141,11 @@ def held(key: tuple, make):
         import ctypes
         import gc
 
+        import pyarrow as pa
+
         _HELD.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)  # give the memory back
         except (OSError, AttributeError):
@@ -124,6 +157,5 @@ def held(key: tuple, make):
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for t in tables:
-        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

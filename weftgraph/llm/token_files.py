@@ -19,7 +19,9 @@ first document border after ``SHARD_TOKENS`` ids, and so never holds more than
 one shard and one document.
 
 Null and empty texts give the end id alone.  Rows with equal ids are ordered
-by a hash of the text and kept each; rows with a null id come first.
+by a hash of the text and kept each; rows with a null id come first.  Other
+columns, whatever their names, are not read; a very long text takes memory in
+proportion to its length; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from . import common
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
-CHUNK_CACHE = 250_000
-GROUP = 500  # chunks that are encoded as one text
+PARTS_MOST = 50_000  # parts grow beyond that many, so the table of parts stays small
+CHUNKS_MOST = 300_000
+BATCH_BYTES = 4 << 20  # of text that is cut into chunks at once, whole documents
+GROUP = 2000  # chunks that are encoded as one text
 WORD_END = "</w>"
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 BLOCK = 512
 
 SHARD_SCHEMA = "part int, shard int, n long, bits int, doc_ids binary, null_ids binary, ends binary, planes array<binary>, ranks array<binary>, zeros array<long>"
@@ -51,10 +55,9 @@ class Wavelet:
     def of(cls, ids):
         import numpy as np
 
-        ids = np.asarray(ids, np.uint32)
+        ids = np.asarray(ids)
         bits = max(1, int(ids.max(initial=0)).bit_length())
-        if bits <= 16:
-            ids = ids.astype(np.uint16)
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=False)
         planes, ranks, zeros = [], [], []
         for j in range(bits - 1, -1, -1):
             bit = (ids & ids.dtype.type(1 << j)) != 0
@@ -63,8 +66,8 @@ class Wavelet:
             ones = np.bitwise_count(packed).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint64) if len(packed) else np.zeros(0, np.uint64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
-            zeros.append(len(bit) - int(bit.sum()))
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            zeros.append(len(bit) - np.count_nonzero(bit))
+            ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])  # far faster than indexing by a mask
         return cls(len(ids), bits, planes, ranks, zeros)
 
     def rank1(self, j, i):
@@ -98,8 +101,8 @@ class Wavelet:
             for p in range(self.bits - 1, -1, -1):
                 bit = np.unpackbits(self.planes[p], count=self.n).view(bool)
                 before = np.empty_like(out)
-                before[~bit] = out[: self.zeros[p]]
-                before[bit] = out[self.zeros[p] :] | out.dtype.type(1 << (self.bits - 1 - p))
+                before[np.flatnonzero(~bit)] = out[: self.zeros[p]]
+                before[np.flatnonzero(bit)] = out[self.zeros[p] :] | out.dtype.type(1 << (self.bits - 1 - p))
                 out = before
             return out.astype(np.uint32)
         at, out = np.arange(i, j, dtype=np.int64), np.zeros(j - i, np.uint32)
@@ -166,14 +169,16 @@ class Wavelet:
 
 
 class Encoder:
-    """Ids of whole texts through a bounded cache of white-space chunks.
+    """Ids of whole texts through a bounded table of white-space chunks.
 
     The tokenizer's normaliser turns white space to spaces and lowers case,
     and its pre-tokenizer drops spaces, so chunks between white space are
-    independent, ASCII capitals do not matter, and signs at the end, after a
-    letter or digit, are a pre-token of their own.  Chunks that the cache lacks
-    are encoded many at a time: words of letters set apart by their word-end
-    tokens, others by a special token.
+    independent and ASCII capitals do not matter.  A batch of texts is cut and
+    its distinct chunks are numbered in one vector step; chunks that the table
+    lacks are encoded many at a time and cut apart again by their word-end
+    tokens (letters, or letters and signs after them) or by a special token
+    between them; the ids of the batch are gathered by chunk number.  Texts
+    that hold an added token in any case are encoded whole by the library.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -185,118 +190,128 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.np = np
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         with open(tokenizer_file, encoding="utf-8") as f:
-            special = [t for t in json.load(f)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
-        self.special = [t["content"].encode() for t in special]
-        self.mark = (special[0]["content"], special[0]["id"]) if special else None
+            added = json.load(f)["added_tokens"]
+        self.added = [t["content"] for t in added]
+        marks = [t for t in added if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
         vocabulary = self.tokenizer.get_vocab()
-        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        top = max(vocabulary.values())
+        self.closing = np.zeros(top + 1, bool)
         for token, i in vocabulary.items():
             self.closing[i] = token.endswith(WORD_END)
-        self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fill(self, chunks) -> None:
-        """Put every one of ``chunks`` into the cache."""
-        cache, old, parts, wanted = self.cache, self.old, [], set()
-        special = any(s in b"\n".join(chunks) for s in self.special)
-        alone = {c for c in chunks if any(s in c for s in self.special)} if special else set()
-        for c in chunks:
-            if c in old:
-                cache[c] = old[c]
-                continue
-            head = c.rstrip(PUNCTUATION)
-            if head and head != c and c not in alone and self._letter_last(head):
-                parts.append((c, head))
-                wanted.add(head)
-                wanted.add(c[len(head) :])
-            else:
-                wanted.add(c)
-        missing = wanted.difference(cache)
-        texts = [c.decode("utf-8", "surrogatepass") for c in missing.difference(alone)]
-        words = [t for t in texts if t.isalpha()]
-        rest = [t for t in texts if not t.isalpha()]
-        odd = missing.intersection(alone)
-        for c, ids in zip(odd, self._ids([c.decode("utf-8", "surrogatepass") for c in odd])):
-            self._put(c, ids)
-        rest += self._put_words([words[i : i + GROUP] for i in range(0, len(words), GROUP)])
-        if self.mark is None:
-            for t, ids in zip(rest, self._ids(rest)):
-                self._put(t.encode("utf-8", "surrogatepass"), ids)
-        else:
-            self._put_marked([rest[i : i + GROUP] for i in range(0, len(rest), GROUP)])
-        for c, head in parts:
-            cache[c] = cache[head] + cache[c[len(head) :]]
-
-    @staticmethod
-    def _letter_last(head: bytes) -> bool:
-        """Whether a letter or ASCII digit comes last, so that the signs after it are a pre-token."""
-        return head[-1:].isalnum() or (head[-1] > 0x7F and head[-4:].decode("utf-8", "ignore")[-1:].isalpha())
-
-    def _put(self, chunk: bytes, ids) -> None:
-        import numpy as np
+        self.kind = np.uint16 if top < 1 << 16 else np.uint32
+        self._emptied()
 
-        self.cache[chunk] = np.asarray(ids, "<u4").tobytes()
-
-    def _cut(self, texts: list[str], data: bytes, starts, ends) -> None:
-        for t, i, j in zip(texts, starts, ends):
-            self.cache[t.encode("utf-8", "surrogatepass")] = data[i:j]
+    def _emptied(self) -> None:
+        import pyarrow as pa
 
-    def _put_words(self, groups: list[list[str]]) -> list[str]:
-        """Encode groups of words of letters, each one pre-token that a word-end token closes.
+        np = self.np
+        self.chunks = pa.array([], pa.string())
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        Words of groups that do not come out so are returned.
-        """
-        import numpy as np
+    def _encoded(self, texts: list[str]):
+        return [self.np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        odd: list[str] = []
-        for g, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
-            ids = np.asarray(ids, "<u4")
-            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
-            if len(ends) != len(g) or ends[-1] != 4 * len(ids):
-                odd += g
-                continue
-            ends = ends.tolist()
-            self._cut(g, ids.tobytes(), [0, *ends], ends)
-        return odd
-
-    def _put_marked(self, groups: list[list[str]]) -> None:
-        """Encode groups of chunks set apart by a special token."""
-        import numpy as np
+    @staticmethod
+    def _grouped(chunks: list[str]) -> list[list[str]]:
+        return [chunks[i : i + GROUP] for i in range(0, len(chunks), GROUP)]
+
+    def _cut(self, chunks: list[str]):
+        """(ids, starts, sizes): the ids of ``chunks``, in any order, and where each has its own."""
+        np = self.np
+        words, signed, rest = [], [], []
+        for k, c in enumerate(chunks):
+            if c.isalpha():
+                words.append(k)
+            else:
+                head = c.rstrip(SIGNS)
+                (signed if head.isalpha() and head != c else rest).append(k)
+        order, ids, sizes = [], [], []
+        # A chunk of letters has one word end at least, one with signs after them two.
+        for ends, found in ((1, words), (2, signed)):
+            groups = self._grouped(found)
+            for g, x in zip(groups, self._encoded([" ".join([chunks[k] for k in g]) for g in groups])):
+                at = np.flatnonzero(self.closing[x]) + 1
+                if len(at) != ends * len(g) or at[-1] != len(x):
+                    rest += g
+                    continue
+                order += g
+                ids.append(x)
+                sizes.append(np.diff(at[ends - 1 :: ends], prepend=0))
+        groups = self._grouped(rest) if self.mark else [[k] for k in rest]
+        between = f" {self.mark[0]} " if self.mark else ""
+        for g, x in zip(groups, self._encoded([between.join([chunks[k] for k in g]) for g in groups])):
+            order += g
+            if self.mark:
+                at = np.flatnonzero(x == self.mark[1])
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(x)]])) - 1)
+                x = np.compress(x != self.mark[1], x)
+            else:
+                sizes.append(np.array([len(x)]))
+            ids.append(x)
+        sizes = np.concatenate(sizes)
+        starts, size_of = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        starts[order], size_of[order] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate(ids), starts, size_of
+
+    def _places(self, chunks):
+        """The place in the table of each of the distinct ``chunks``, an Arrow array; what it lacks is put in."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        at = pc.index_in(chunks, value_set=self.chunks).fill_null(-1).to_numpy().astype(np.int64)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            if len(self.chunks) + len(gaps) > CHUNKS_MOST:
+                self._emptied()
+                gaps = np.arange(len(chunks))
+            missing = chunks.take(pa.array(gaps))
+            ids, starts, sizes = self._cut(missing.to_pylist())
+            at[gaps] = len(self.chunks) + np.arange(len(gaps))
+            self.chunks = pa.concat_arrays([self.chunks, missing])
+            self.starts = np.concatenate([self.starts, starts + self.used])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            while len(self.ids) < self.used + len(ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        return at
 
-        for g, ids in zip(groups, self._ids([f" {self.mark[0]} ".join(g) for g in groups])):
-            ids = np.asarray(ids, "<u4")
-            marks = np.flatnonzero(ids == self.mark[1]) * 4
-            self._cut(g, ids.tobytes(), [0, *(marks + 4).tolist()], [*marks.tolist(), 4 * len(ids)])
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.cache) >= CHUNK_CACHE:
-            self.cache, self.old = {}, self.cache
-        rows, missing, known = [], set(), self.cache.get
-        for t in texts:
-            chunks = self._chunks(t)
-            found = list(map(known, chunks))
-            gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
-            lacking = [chunks[i] for i in gaps]
-            missing.update(lacking)
-            rows.append((found, gaps, lacking))
-        self._fill(missing)
-        for found, gaps, lacking in rows:
-            for i, c in zip(gaps, lacking):
-                found[i] = self.cache[c]
-        return [b"".join(found) for found, _, _ in rows]
-
-    def _chunks(self, text: str | None) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass") if text else b""
-        low = data.lower()
-        return (data if any(s in low for s in self.special) else low).split()
-
-    def encode(self, text: str | None) -> bytes:
+    def encode_all(self, texts):
+        """(ids, ends): the ids of all texts, strings or an Arrow array of them, and where each text's end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), pa.scalar(None, pa.string()), texts) if whole.any() else texts
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        coded = lists.flatten().dictionary_encode()
+        places = self._places(coded.dictionary)
+        each = coded.indices.to_numpy()
+        sizes, starts = self.sizes[places][each], self.starts[places][each]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        at = np.repeat(starts - (stops - sizes), sizes)
+        at += np.arange(total)
+        ids = self.ids[at]
+        ends = np.concatenate([[0], stops])[np.cumsum(lists.value_lengths().fill_null(0).to_numpy())] if len(texts) else np.zeros(0, np.int64)
+        if whole.any():
+            cut = np.split(ids, ends[:-1])
+            for i, x in zip(np.flatnonzero(whole), self._encoded([texts[int(i)].as_py() for i in np.flatnonzero(whole)])):
+                cut[i] = x
+            ids, ends = np.concatenate(cut), np.cumsum([len(x) for x in cut])
+        return ids, ends
+
+    def encode(self, text: str | None):
         return self.encode_all([text])[0]
 
 
@@ -306,9 +321,9 @@ def _encoder(tokenizer_file: str) -> Encoder:
 
 
 def _parts(docs: DataFrame) -> int:
-    """Ranges of ids for about PART_BYTES of text each."""
+    """Ranges of ids for about PART_BYTES of text each, PARTS_MOST of them at most."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // PART_BYTES))
+    return min(max(1, -(-total // PART_BYTES)), PARTS_MOST)
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -323,30 +338,33 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
         import numpy as np
         import pyarrow as pa
 
-        encoder, end = _encoder(tokenizer_file), np.uint32(end_id).tobytes()
+        encoder = _encoder(tokenizer_file)
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("ends", pa.binary()), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("zeros", pa.list_(pa.int64()))])
         now, shard, ids, ends, chunks, n = None, 0, [], [], [], 0
 
         def closed():
-            w = Wavelet.of(np.frombuffer(b"".join(chunks), "<u4")).packed()
+            w = Wavelet.of(np.concatenate(chunks)).packed()
             null = np.asarray([x is None for x in ids], bool)
             row = w | {"part": now, "shard": shard, "doc_ids": np.asarray([x or 0 for x in ids], "<i8").tobytes(), "null_ids": np.packbits(null).tobytes(), "ends": np.asarray(ends, "<i8").tobytes()}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for b in batches:
-            data_of = encoder.encode_all(b.column("text").to_pylist())
-            for p, i, data in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), data_of):
+        for b in common.batched(batches, BATCH_BYTES):
+            found, stops = encoder.encode_all(b.column("text"))
+            found = np.insert(found.astype(np.uint32, copy=False) if end_id > np.iinfo(found.dtype).max else found, stops, end_id)
+            stops = stops + np.arange(1, len(stops) + 1)
+            at = 0
+            for p, i, stop in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), stops.tolist()):
                 if ids and (p != now or n >= SHARD_TOKENS):
                     yield closed()
                     shard, ids, ends, chunks, n = (shard + 1 if p == now else 0), [], [], [], 0
                 elif p != now:
                     shard = 0
                 now = p
-                data += end
-                n += len(data) // 4
+                n += stop - at
                 ids.append(i)
                 ends.append(n)
-                chunks.append(data)
+                chunks.append(found[at:stop])
+                at = stop
         if ids:
             yield closed()
 
@@ -399,6 +417,48 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return read_shards(spark, path).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+def _asked(spark: SparkSession, path: str, answer, schema: str) -> DataFrame:
+    """Rows that ``answer(row, wavelet, first_start)`` gives for every shard of a token table."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                found = answer(row, Wavelet.unpacked(row), row["first_start"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
+
+    return read_shards(spark, path).mapInArrow(read, schema)
+
+
+def counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """``token, n``: how often each of the distinct ``tokens`` occurs in a token table, by rank alone."""
+    tokens = sorted(set(tokens))
+    each = _asked(spark, path, lambda row, w, first: (tokens, [w.count(t) for t in tokens]), "token long, n long")
+    return each.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """``place``: the places of ``token`` among all ids of a token table, by select alone."""
+
+    def answer(row, w, first):
+        return ([first + w.occurrence(token, k) for k in range(w.count(token))],)
+
+    return _asked(spark, path, answer, "place long")
+
+
+def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """``place, token`` for those of ``places`` that a token table has."""
+
+    def answer(row, w, first):
+        here = [p for p in places if first <= p < first + row["n"]]
+        return here, [w.access(p - first) for p in here]
+
+    return _asked(spark, path, answer, "place long, token long")
+
+
 def token_files(docs: DataFrame, tokenizer_file: str, path: str | None = None) -> DataFrame:
     """Write ``docs`` as a token table and return what reading it back gives."""
     path = path or common.shared_path(docs.sparkSession, "tokens")
