@@ -18,20 +18,25 @@ def _segmentations(word, logp, cache):
     """log of the sum over all ways to cut the bytes of ``word`` into pieces."""
     best = [0.0] + [-math.inf] * len(word)
     for j in range(1, len(word) + 1):
-        terms = [best[i] + logp[word[i:j]] for i in range(max(0, j - lm_scores.PIECE_MOST), j) if word[i:j] in logp and best[i] > -math.inf]
+        terms = [best[i] + logp[word[i:j]] for i in range(j) if word[i:j] in logp and best[i] > -math.inf]
         top = max(terms)
         best[j] = top + math.log(sum(math.exp(t - top) for t in terms))
     return best[-1]
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
     pieces = lm_scores.Pieces(MODEL)
-    logp = {p: float(x) for p, x in zip(pieces.pieces, pieces.logp)}
+    logp = {p: float(x) for p, x in zip(pieces.pieces, pieces.logp[0])}
     assert abs(sum(math.exp(x) for x in logp.values()) - 1) < 1e-9
-    some = [w.encode() for w in ("the", "a", "stone", "étrange", "東京", "xqzxqz", "b" * 40)]
+    some = [w.encode() for w in ("the", "a", "stone", "étrange", "东京", "является", "результата", "xqzxqz", "b" * 40, "thestone" * 20)]
+    assert pieces.longest > 16 and " является".encode() in logp
     got = pieces.log_marginals(some)
-    for w, x in zip(some, got):
+    for w, x in zip(some, got[0]):
         assert abs(x - _segmentations(b" " + w, logp, {})) < 1e-6
+    uses = pieces.expected(some)
+    monkeypatch.setattr(lm_scores, "LONG", 10)
+    assert abs(pieces.log_marginals(some) - got).max() < 1e-9 and abs(pieces.expected(some) - uses).max() < 1e-9
+    assert math.isfinite(pieces.log_marginals([b"x" * 50_000])[0][0])
 
 
 def test_scores_follow_the_formula(spark):
@@ -56,13 +61,14 @@ def test_scores_follow_the_formula(spark):
             continue
         w = [*cases.words(cases.lower(by[r.doc_id] or "")), "\n"]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in counts for x in w), n)
-        assert abs(r.base_score - sum(math.log10((counts.get(x, 0) + 1) / (n * 1.0 + 1) / (v + 1)) for x in w)) < 1e-5 * len(w)
-        lattice = pieces.log_marginals([x.encode("utf-8", "surrogatepass") for x in w[:-1]])
+        assert abs(r.base_score - sum(math.log10((counts.get(x, 0) + 1) / (n + 1 * (v + 1))) for x in w)) < 1e-9 * len(w)
+        own, adapted = pieces.log_marginals([x.encode("utf-8", "surrogatepass") for x in w[:-1]])
         D = lm_scores.DISCOUNT
-        want = math.log10((counts["\n"] - D) / n)
-        for x, l in zip(w[:-1], lattice):
-            want += math.log10(max(counts.get(x, 0) - D, 0) / n + D * v / n * math.exp(l))
-        assert abs(r.score - want) < 1e-6 * max(1, abs(want))
+        end = math.log10((counts["\n"] - D) / n)
+        for got, lattice in ((r.score, own), (r.adapted_score, adapted)):
+            want = end + sum(math.log10(max(counts.get(x, 0) - D, 0) / n + D * v / n * math.exp(p)) for x, p in zip(w[:-1], lattice))
+            assert abs(got - want) < 1e-6 * max(1, abs(want))
+        assert abs(r.lattice_score - end - sum(own) / math.log(10)) < 1e-6 * max(1, abs(r.lattice_score))
         assert r.held_out == (cases.remainder(r.doc_id, 7) == 2)
     empty = docs.filter("false")
     model = lm_scores.learn(empty, MODEL)
@@ -112,15 +118,21 @@ def _ids(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_encoder_equals_the_library(tokenizer):
+def test_encoder_equals_the_library(tokenizer, monkeypatch):
     rng = random.Random(4)
     odd = ["", " ", "don't we'LL", "A,b. C.", "x<|endoftext|>y", "<|startoftext|>", "<|endoftext|", "ÀÉ ß İI ı", "東京", "a b c", "é", "1234 12,5", "\x00 a", "﻿b", "'s 't", "K Å"]
     odd += ["".join(rng.choice("abAB ,.'\n é東<|>1​") for _ in range(rng.randrange(50))) for _ in range(400)]
-    got = token_files.Encoder(WORDY).encode_all(odd)
-    import numpy as np
-
-    for t, data in zip(odd, got):
-        assert np.frombuffer(data, "<u4").tolist() == _ids(tokenizer, t)[:-1], repr(t)
+    odd += ["<|STARTOFTEXT|> x", "İ. ab!", "ﬁ, ǅ.", "x\x1cy", "ab\u00a0cd.", None]
+    encoder = token_files.Encoder(WORDY)
+    for _ in range(2):  # with an empty table, then a full one
+        ids, ends = encoder.encode_all(odd)
+        assert len(ends) == len(odd) and ends[-1] == len(ids)
+        for t, i, j in zip(odd, [0, *ends], ends):
+            assert ids[i:j].tolist() == _ids(tokenizer, t)[:-1], repr(t)
+    monkeypatch.setattr(token_files, "CHUNKS_MOST", 3)
+    assert encoder.encode("one two three four").tolist() == _ids(tokenizer, "one two three four")[:-1]
+    ids, ends = encoder.encode_all([])
+    assert len(ids) == len(ends) == 0
 
 
 def test_token_files_round_trip(spark, tokenizer, tmp_path):
@@ -145,6 +157,12 @@ def test_token_files_round_trip(spark, tokenizer, tmp_path):
         if r.doc_id is not None:
             assert list(r.ids) == _ids(tokenizer, by[r.doc_id])
     assert token_files.token_files(docs.filter("false"), WORDY).count() == 0
+    flat = [x for r in rows for x in r.ids]
+    some = [flat[0], flat[-1], 2, 40_000]
+    assert {(r.token, r.n) for r in token_files.counts(spark, path, some).collect()} == {(t, flat.count(t)) for t in some}
+    assert sorted(r.place for r in token_files.occurrences(spark, path, flat[5]).collect()) == [i for i, t in enumerate(flat) if t == flat[5]]
+    places = [0, 7, len(flat) - 1, len(flat)]
+    assert {(r.place, r.token) for r in token_files.tokens_at(spark, path, places).collect()} == {(p, flat[p]) for p in places[:-1]}
 
 
 def test_wavelet_matrix():
