@@ -25,6 +25,13 @@ Nulls and empty texts have no shingles and are linked with nothing; a text
 with fewer words than a shingle is one shingle.  Rows with a null id come
 back unlinked (``component_id`` null, ``kept`` true).  Repeated ids are one
 node: whatever one of their rows is linked with, all are; each row comes back.
+An empty table gives none; other columns, whatever their names, are not read; a
+very long text takes memory in proportion to its length.
+
+Shingles are compared by 64-bit hashes, so two different ones of a pair count
+as equal with odds of about n * m to 2 ** 64 for sets of n and m shingles.
+Equal sets are told by a 64-bit hash too: among k different sets, two fall
+together with odds of about k * k to 2 ** 65 (a billion texts: 3 in 100).
 """
 
 from __future__ import annotations
@@ -200,6 +207,7 @@ class _Search:
         """The rows of ``met`` in buckets of three or more classes and several components."""
         rows = met.join(self.attributes(roots).select("node", F.col("me.comp").alias("comp")), "node")
         keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        keys = common.staged(keys, "keys")
         return common.staged(rows.join(keys, "key").select("key", "node", "m"), "mixed")
 
     def across(self, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -207,6 +215,8 @@ class _Search:
         sets = self.sets(nodes)
         each = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
         often = each.groupBy("x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        # Staged apart, both sides of the join are plain shuffles, which adaptive execution splits where one shingle is in very many texts.
+        often = common.staged(often, "often")
         shared = each.join(often, "x").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
         # the n - size(xs) shingles of no other class come first and meet nobody
         length = F.expr(f"n - ceil(n * {self.num} / {self.den}) + 1 - (n - size(xs))").cast("int")
@@ -215,7 +225,8 @@ class _Search:
         rows = common.staged(rows.select("x", "at", "me"), "prefix")
         tops = rows.groupBy("x", F.col("me.comp").alias("comp")).agg(F.count(F.lit(1)).alias("c"))
         tops = tops.groupBy("x").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        rows = rows.join(tops.select("x", F.col("top.comp").alias("top")), "x")
+        tops = common.staged(tops.select("x", F.col("top.comp").alias("top")), "tops")
+        rows = common.staged(rows.join(tops, "x"), "met")
         few = rows.filter("me.comp <> top").select("x", F.col("at").alias("i"), F.col("me").alias("a"))
         both = few.join(rows.select("x", F.col("at").alias("j"), F.col("me").alias("b")), "x")
         # from their first common shingle on, the sets must still be able to share enough
@@ -227,12 +238,14 @@ class _Search:
         """``node, root`` of the classes."""
         members = self.classes.select("node", F.explode("bands").alias("key"))
         pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+        pivots = common.staged(pivots, "pivots")  # apart, so that adaptive execution can split a hot bucket
         met = common.staged(members.join(pivots, "key"), "met")
         first = self.plausible(met.select(F.col("node").alias("u"), F.col("pivot").alias("v")), None)
         links, roots = self.grown(self.links, self.confirm(first))
         left = self.mixed(met.filter("m > 2").select("key", "node", "m"), roots)
         mates = left.groupBy("node").agg(F.sum("m").alias("mates"))
         hubs = left.join(mates, "node").groupBy("key").agg(F.max(F.struct("mates", "node")).alias("hub")).select("key", F.col("hub.node").alias("v"))
+        hubs = common.staged(hubs, "hubs")
         second = self.plausible(left.join(hubs, "key").select(F.col("node").alias("u"), "v"), roots)
         links, roots = self.grown(links, self.confirm(second))
         nodes = self.mixed(left, roots).select("node").distinct()
