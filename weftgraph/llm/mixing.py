@@ -6,16 +6,22 @@ stops at 3 times its source's size and the excess is shared again by weight.
 
 For each source, its documents are counted by exact size.  The target is met
 by whole passes over the source, then by documents taken once more: an even
-share of every size, then the largest sizes that still fit, and for what is
-left of the budget a bounded-knapsack dynamic programme over the counts that
-remain (a bit set of reachable sums, at most ``DP_WORDS`` wide).  The same for
-the documents left out gives the nearest sum above; the nearer one is taken.  Which
-documents of a size are taken is drawn by a seeded hash: the plan says how
-many, a hash bucket's place tells which, so no group is ranked as a whole.
+share of every size, in a seeded order in which what rounding leaves of one
+size is dealt with the next, up to a few times the largest size or a part of
+``DP_WORDS`` before the budget, and for what is left a bounded-knapsack dynamic programme over all counts that remain (every sum up
+to what is left, with the step that reached it).  The same for the documents left out gives the nearest sum above; the
+nearer one is taken.  Which documents of a size are taken is drawn by a seeded
+hash: the plan says how many, a hash bucket's place tells which.  A size of c
+documents has about sqrt(c) buckets, so no group is ranked as a whole, and
+joins with the plan are salted, so no size meets it in one task.
+
+The driver sees one row for each source; a task holds the distinct sizes of
+one source.
 
 Null and empty texts have size 0 and are never taken (their words are 0).  A
 source of size 0 has target 0.  Repeated rows are documents of their own,
-except that identical rows are interchangeable.  An empty table gives none.
+except that identical rows are interchangeable.  An empty table gives none.  Other
+columns, whatever their names, are not read; ``mixture`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from . import common
 
 CYCLE = (1, 2, 3)
 MOST = 3
-DP_WORDS = 60_000
+DP_WORDS = 60_000  # least width of the programme; it grows with the largest size
+SALTS = 16
 
 
 def targets_for(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -48,59 +55,68 @@ def targets_for(sizes: list[int], weights: list[float], most: int = MOST) -> lis
     return out
 
 
-def fit(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, seed: int = 0, dp_words: int = DP_WORDS) -> dict[int, int]:
     """How many documents of each size to take so that sizes sum to ``budget``.
 
-    The sum never exceeds the budget and comes as near as the steps allow.
+    The sum never exceeds the budget; what is left of it when all sizes but
+    the last few documents are settled is met as nearly as those allow.
     """
+    import random
+
+    import numpy as np
+
     total = sum(s * c for s, c in counts.items())
     if budget <= 0 or not total:
         return {}
     budget = min(budget, total)
-    sizes = sorted((s for s in counts if s > 0), reverse=True)
-    take = {s: counts[s] * budget // total for s in sizes}
+    sizes = sorted(s for s in counts if s > 0)
+    draw = random.Random(seed)
+    draw.shuffle(sizes)
+    most = max(dp_words, 4 * max(sizes))
+    even = budget - most * 3 // 4 if budget > most else 0  # what is dealt evenly; the programme meets the rest
+    take, due = {}, 0.0
+    for s in sizes:  # what rounding leaves of a size is dealt with the next
+        due += s * counts[s] * even / total
+        take[s] = min(counts[s], max(0, round(due / s)))
+        due -= s * take[s]
     left = budget - sum(s * k for s, k in take.items())
-    for s in sizes:  # largest first, until the programme can hold what is left
-        if left <= dp_words:
+    for s in sizes:  # until the programme can hold what is left
+        if left <= most:
             break
-        k = min(counts[s] - take[s], (left - dp_words // 2) // s)
-        if k > 0:
-            take[s] += k
-            left -= k * s
-    width = min(left, dp_words)
-    if width <= 0:
-        return {s: k for s, k in take.items() if k}
-    mask = (1 << (width + 1)) - 1
-    reach, steps = 1, []
+        k = min(counts[s] - take[s], (left - most // 2) // s)
+        take[s] += k
+        left -= k * s
+    reached, step_of, steps = np.zeros(left + 1, bool), np.zeros(left + 1, np.int32), []
+    reached[0] = True
     for s in sizes:
-        spare, piece = min(counts[s] - take[s], width // s), 1
-        while spare > 0 and not reach >> width & 1:
+        spare, piece = min(counts[s] - take[s], left // s), 1
+        while spare > 0 and not reached[left]:
             k = min(piece, spare)
-            grown = reach | reach << (s * k) & mask
-            if grown != reach:
-                steps.append((s, k, reach))
-                reach = grown
+            new = np.flatnonzero(reached[: left + 1 - s * k] & ~reached[s * k :]) + s * k
+            step_of[new] = len(steps)
+            reached[new] = True
+            steps.append((s, k))
             spare, piece = spare - k, piece * 2
-        if reach >> width & 1:
+        if reached[left]:
             break
-    at = reach.bit_length() - 1
-    for s, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[s] += k
-            at -= s * k
+    at = int(np.flatnonzero(reached)[-1])
+    while at:  # a sum's step builds on a sum of an earlier step
+        s, k = steps[step_of[at]]
+        take[s] += k
+        at -= s * k
     return {s: k for s, k in take.items() if k}
 
 
-def nearest(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
+def nearest(counts: dict[int, int], budget: int, seed: int = 0, dp_words: int = DP_WORDS) -> dict[int, int]:
     """Like ``fit``, or above the budget where that comes nearer to it.
 
     The least sum above is what the best fit of the rest leaves over.
     """
     total = sum(s * c for s, c in counts.items())
-    below = fit(counts, budget, dp_words)
+    below = fit(counts, budget, seed, dp_words)
     if not 0 < budget < total:
         return below
-    left_over = fit(counts, total - budget, dp_words)
+    left_over = fit(counts, total - budget, seed, dp_words)
     above = {s: c - left_over.get(s, 0) for s, c in counts.items() if s > 0 and c > left_over.get(s, 0)}
     size = lambda take: sum(s * k for s, k in take.items())
     return above if size(above) - budget < budget - size(below) else below
@@ -116,8 +132,8 @@ def _measured(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", common.word_count(docs["text"]).alias("size"), _draw(seed).alias("draw"))
 
 
-def _plan(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sources: source, source_size, target), (plan: source, size, passes, extra)."""
+def _plan(measured: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sources: source, source_size, target, no), (plan: no, size, c, passes, extra)."""
     spark = measured.sparkSession
     histogram = common.staged(measured.groupBy("source", "size").agg(F.count(F.lit(1)).alias("c")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
@@ -132,13 +148,13 @@ def _plan(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole, goal = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
         passes = min(MOST, int(goal // whole)) if whole else 0
         counts = {int(s): int(c) for s, c in zip(part["size"], part["c"])}
-        extra = nearest(counts, round(goal) - passes * whole) if passes < MOST else {}
+        extra = nearest(counts, round(goal) - passes * whole, seed) if passes < MOST else {}
         sizes = sorted(counts)
-        return pd.DataFrame({"no": key[0], "size": sizes, "passes": passes, "extra": [extra.get(s, 0) for s in sizes]})
+        return pd.DataFrame({"no": key[0], "size": sizes, "c": [counts[s] for s in sizes], "passes": passes, "extra": [extra.get(s, 0) for s in sizes]})
 
     numbered = sources.withColumn("no", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     joined = histogram.join(F.broadcast(numbered) if len(rows) <= 100_000 else numbered, histogram["source"].eqNullSafe(numbered["source"]))
-    plan = joined.select("no", "size", "c", "source_size", "target").groupBy("no").applyInPandas(planned, "no long, size long, passes int, extra long")
+    plan = joined.select("no", "size", "c", "source_size", "target").groupBy("no").applyInPandas(planned, "no long, size long, c long, passes int, extra long")
     return numbered, common.staged(plan, "plan")
 
 
@@ -150,10 +166,10 @@ def mixed(docs: DataFrame, seed: int = 20240229, id_col: str = "doc_id", text_co
     """
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].cast("string").alias("source"))
     measured = common.staged(_measured(picked, seed), "measured")
-    sources, plan = _plan(measured)
+    sources, plan = _plan(measured, seed)
     few = size_few(sources)
     rows = measured.join(F.broadcast(sources) if few else sources, measured["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "draw", "source_size", "target", "no")
-    rows = rows.join(plan, ["no", "size"])
+    rows = rows.withColumn("salt", F.pmod("draw", F.lit(SALTS)).cast("int")).join(_salted(plan), ["no", "size", "salt"])
     return _chosen(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "draw")
 
 
@@ -161,18 +177,23 @@ def size_few(sources: DataFrame) -> bool:
     return common.size_at_most(sources, 100_000)
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _chosen(rows: DataFrame) -> DataFrame:
     """``copies``: the passes, and one more for the ``extra`` least draws of a size.
 
     The draw of the last document taken lies in one bucket of draws; buckets
     are counted first and only that bucket is ranked.
     """
-    bucket = F.shiftrightunsigned("draw", 48)
-    rows = rows.withColumn("bucket", bucket)
+    bits = F.greatest(F.ceil(F.log2("c") / 2), F.lit(1)).cast("int")
+    rows = rows.withColumn("bucket", F.call_function("shiftrightunsigned", F.col("draw"), 64 - bits))
     counted = rows.filter("extra > 0").groupBy("no", "size", "bucket").agg(F.count(F.lit(1)).alias("here"), F.first("extra").alias("wanted"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy("no", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = counted.withColumn("before", before).filter("before < wanted and before + here >= wanted").select("no", "size", F.col("bucket").alias("cut"), (F.col("wanted") - F.col("before")).alias("rest"))
-    rows = rows.join(cut, ["no", "size"], "left")
+    rows = rows.join(_salted(cut), ["no", "size", "salt"], "left")
     edge = rows.filter("bucket = cut").withColumn("rank", F.row_number().over(Window.partitionBy("no", "size").orderBy("draw", "doc_id")))
     edge = edge.select(*rows.columns, (F.col("rank") <= F.col("rest")).cast("int").alias("more"))
     other = rows.filter("cut is null or bucket <> cut").withColumn("more", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)).cast("int"))
