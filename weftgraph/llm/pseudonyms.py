@@ -17,9 +17,18 @@ Feistel network over its two halves, so that
 The two halves of a string are mixed-radix numbers (10 for a digit, 26 for a
 letter, 8 for the first digits of North American area and exchange codes);
 a round adds a SHA-256 of the other half.  A date is one of the 17 * 4297 days
-of the two centuries.  All is built-in expressions on one row, no shuffle.
-
-Null texts stay null with no findings; empty texts stay empty.
+of the two centuries.  Where a permuted value is no valid one (a number that
+starts with 000), it is permuted again until it is, which stays one to one.
+All is built-in expressions on one row, no shuffle.
+
+The key is the caller's secret: who has it can undo every pseudonym, so there
+is no default.  Dates with slashes are read day first where that is a date, so
+03/05/1987 links with 1987-05-03; phone numbers are cut into calling code and
+rest by the published list of codes, so separators do not matter.
+
+Null texts stay null with no findings; empty texts stay empty.  Repeated rows
+come back each; a very long text takes memory in proportion to its length;
+other columns, whatever their names, are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,12 +38,15 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 DAYS = (17, 4297)
-KEY = "weftgraph"
+WALKS = 64  # a value is invalid with odds of about 1 in 9, so 64 in a row do not happen
 
 KINDS = ("email", "phone", "iban", "ip", "date", "ssn", "card")
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-_PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
-_IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
+#: North American numbers have ten digits after +1; what follows them is not theirs.
+_PHONE = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
+_IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?"
+#: The one- and two-digit calling codes of E.164; all others have three digits.
+_CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
@@ -223,21 +235,33 @@ def _card_pieces(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+(1(?=[ .(-])|\d{1,3})", 0)
+    country = F.regexp_extract(m, _CALLING, 0)
     rest = F.substring(m, F.length(country) + 1, F.lit(100))
     digits = F.regexp_replace(rest, "[^0-9]", "")
     return _bound(digits, lambda d: F.when(F.length(d).between(6, 14), F.concat(country, _refilled(rest, _permuted(d, key, "phone", True)))))
 
 
 def _iban(m: Column, key: str) -> Column:
-    body, head = F.substring(m, 5, 40), F.substring(m, 1, 2)
-    valid = _mod97(F.concat(body, F.substring(m, 1, 4))) == 1
+    """Of an IBAN in groups the last one or two may be other words: the longest valid run of groups counts."""
+
+    def whole(t):
+        def new(plain):
+            body, head = F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 2)
+            valid = (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
+
+            def checked(b):
+                check = (98 - _mod97(F.concat(b, head, F.lit("00")))).cast("string")
+                return _refilled(t, F.concat(head, F.lpad(check, 2, "0"), b))
+
+            return F.when(valid, _bound(_permuted(body, key, "iban"), checked))
 
-    def new(b):
-        check = (98 - _mod97(F.concat(b, head, F.lit("00")))).cast("string")
-        return F.concat(head, F.lpad(check, 2, "0"), b)
+        return _bound(F.regexp_replace(t, " ", ""), new)
 
-    return F.when(valid, _bound(_permuted(body, key, "iban"), new))
+    def without(n):
+        cut = F.regexp_replace(m, rf"(?: [A-Z0-9]+){{{n}}}$", "")
+        return F.when(cut != m, F.concat(whole(cut), F.substring(m, F.length(cut) + 1, F.length(m))))
+
+    return F.coalesce(whole(m), without(1), without(2))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -280,8 +304,14 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(000|666|9)|-00-|-0000$")
-    return F.when(valid, _refilled(m, _permuted(F.regexp_replace(m, "-", ""), key, "ssn")))
+    invalid = lambda d: d.rlike(r"^(?:000|666|9)|^...00|0000$")
+
+    def walked(d):
+        first = _permuted(d, key, "ssn")
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(invalid(x), _permuted(x, key, "ssn")).otherwise(x))
+
+    digits = F.regexp_replace(m, "-", "")
+    return _bound(digits, lambda d: F.when(~invalid(d), _refilled(m, walked(d))))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -305,11 +335,13 @@ def _pseudonym(m: Column, key: str) -> Column:
     return F.when(m.rlike(f"^(?:{FORMS['card']})$") & ~other, _card_pieces(m, key)).otherwise(one)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, findings, n_replaced`` for each row; ``text`` with pseudonyms.
 
     ``findings`` lists (found, kind, pseudonym) of the replaced values.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_t"))
     some = F.col("_t").rlike("[0-9@]")
     base = base.select("doc_id", "_t", F.when(some, F.regexp_extract_all("_t", F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")).alias("_m"))

@@ -17,8 +17,8 @@ def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scores import learn, scores
 
     docs = common.table(spark, sf_dir, "documents")
-    model = learn(docs.filter(_remainder(7) != 2), common.tokenizer_path("piece_bpe_32k.model"))
-    return scores(docs, model, _remainder(7) == 2)
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))  # a null id is no remainder of 2
+    return scores(docs, learn(docs.filter(~held_out), common.tokenizer_path("piece_bpe_32k.model")), held_out)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +40,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
 
 
+#: The setting that holds the secret key of pseudonyms.
+KEY_SETTING = "spark.weftgraph.pseudonyms.key"
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the key of KEY_SETTING; without one, a random key that is forgotten with the run."""
+    import secrets as random_keys
+
     from .pseudonyms import pseudonymised
 
-    found = pseudonymised(common.table(spark, sf_dir, "documents"))
+    key = spark.conf.get(KEY_SETTING, None) or random_keys.token_hex(32)
+    found = pseudonymised(common.table(spark, sf_dir, "documents"), key)
     return found.select("doc_id", "text", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f.kind, f.pseudonym)), " ").alias("pseudonyms"), "n_replaced")
 
 
