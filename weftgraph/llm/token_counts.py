@@ -4,8 +4,10 @@ A text's length in tokens is the sum of the lengths of its pre-tokens, so no
 text has to be encoded as a whole and no pre-token is shuffled:
 
 * tier 1 is a compact table of frequent pre-tokens with their lengths, made
-  once on the driver from the vocabulary file (its size is bounded by the
-  vocabulary) and broadcast;
+  once on the driver and broadcast: the words that the vocabulary itself holds
+  as pieces, which are those that its training found most frequent (so the
+  table's size is bounded by the vocabulary, and no pass over the texts is
+  needed to find them);
 * tier 2 is a bounded cache in each Python worker; what it misses is encoded
   by the library.
 
@@ -14,7 +16,8 @@ character, so merges never cross from a character to a following space.
 Nor does any piece hold a line feed, which is always coded as one byte.
 
 Null and empty texts have 0 tokens.  Repeated rows come back as often as they
-went in; a null ``doc_id`` is kept as null.  Other columns are ignored.
+went in; a null ``doc_id`` is kept as null.  Other columns are ignored.  A very
+long text is counted as a whole; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -82,14 +85,12 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     spark = docs.sparkSession
     common.small_batches(spark)
     frequent = spark.sparkContext.broadcast(vocabulary_lengths(model_file))
-    state: dict = {}
+    key = ("counter", model_file, spark.sparkContext.applicationId)
 
     def counted(batches):
         import pyarrow as pa
 
-        if "counter" not in state:
-            state["counter"] = Counter(model_file, frequent.value)
-        counter = state["counter"]
+        counter = common.held(key, lambda: Counter(model_file, frequent.value))
         for b in batches:
             texts = b.column("text").to_pylist()
             n = [counter.count(t) for t in texts]

@@ -5,10 +5,11 @@ corpus' languages spell with, stripped of accents; look-alikes of other scripts,
 become those letters; zero-width characters go; all else separates words.
 
 Lexicon.  Learned from labelled rows (a hash sample of at most ``most`` rows):
-an entry is the start of a word that occurs in toxic rows far more than in
-others.  Occurrences count once for each neighbourhood (word before, word
+an entry is the start of a word (4 to 14 letters) or a whole word of any length
+that occurs in toxic rows far more than in others.  Occurrences count once for each neighbourhood (word before, word
 after), so copies of a row do not count again, and an entry must be too
-frequent for chance.  Of starts with the same occurrences the longest is kept.
+frequent for chance.  Of starts with the same occurrences the longest is kept,
+and a whole word only where no start of it is.  The labelled rows bound the lexicon, nothing else.
 Exception phrases are pairs of a word under an entry and a neighbour that
 occur in rows labelled clean only; a match inside one counts nothing.  Callers
 may add phrases.
@@ -19,7 +20,9 @@ the text alone.
 
 Null and empty texts have no matches and get the curve's least score.  Without
 labels of both kinds the lexicon is empty and every score is 0.  Repeated rows
-are scored each; repeated labels of a row: any label 1 makes it toxic.
+are scored each; repeated labels of a row: any label 1 makes it toxic.  A very
+long text is matched as a whole; other columns, whatever their names, are not
+read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -33,10 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED_MOST = 20_000
-TERMS_MOST = 5_000
-PHRASES_MOST = 2_000
-SHORTEST, LONGEST = 4, 14
-POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
+SHORTEST, LONGEST = 4, 14  # of starts; whole words may have any length
+POWERS = (0.25, 0.5, 0.75, 1.0)
 
 _LOOK_ALIKE = dict(zip("авекмнорстухіјѕһԁԛԝɡαβειοκνρτυχγηωɑəıłøđħ", "abekmhopctyxijshdqwgabeiokvptuxynwaeilodh"))
 _SPELT = set("äöüßéèêëçàâîïôûùñáíóú")
@@ -83,6 +84,8 @@ def folder() -> Folder:
 
 @dataclass
 class Model:
+    """Entries with their weights (a space at the end marks a whole word), exception phrases and the curve."""
+
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     power: float = 0.5
@@ -116,7 +119,14 @@ def matched(automaton, folded: str) -> tuple[float, int, int]:
         else:
             best[start] = max(w, best.get(start, w))
     if excepted:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in excepted)}
+        from bisect import bisect_right
+
+        excepted.sort()
+        firsts, reach = [a for a, _ in excepted], []
+        for _, b in excepted:  # how far the phrases that began so far reach
+            reach.append(max(b, reach[-1]) if reach else b)
+        covered = lambda s: (k := bisect_right(firsts, s)) > 0 and s < reach[k - 1]
+        best = {s: w for s, w in best.items() if not covered(s)}
     return sum(best.values()), len(best), len(words)
 
 
@@ -141,7 +151,7 @@ def _occurrences(sample: DataFrame) -> DataFrame:
             words, contexts, toxic = [], [], []
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 w = ["", *fold(text).split(), ""]
-                seen = {(x, y, z) for x, y, z in zip(w, w[1:], w[2:]) if SHORTEST <= len(y) <= 40}
+                seen = {(x, y, z) for x, y, z in zip(w, w[1:], w[2:])}
                 for x, y, z in seen:
                     words.append(y)
                     contexts.append(xxhash.xxh3_64_intdigest(f"{x} {z}") >> 1)
@@ -152,7 +162,7 @@ def _occurrences(sample: DataFrame) -> DataFrame:
 
 
 def _lexicon(sample: DataFrame) -> dict[str, float]:
-    """Word starts with their log odds, at most TERMS_MOST."""
+    """Word starts and whole words (with a space at the end) with their log odds."""
     import math
 
     once = _occurrences(sample).groupBy("word", "context").agg(F.max("toxic").alias("t"), F.min("toxic").alias("c"))
@@ -160,18 +170,19 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     all_t, all_c = (x or 0 for x in words.agg(F.sum("t"), F.sum("c")).first())
     if not all_t or not all_c:
         return {}
-    starts = words.select(F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("start"), "t", "c")
+    begun = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    begun = F.when(F.length("word") >= SHORTEST, begun).otherwise(F.array().cast("array<string>"))
+    starts = words.select(F.explode(F.concat(begun, F.array(F.concat("word", F.lit(" "))))).alias("start"), "t", "c")
     starts = starts.groupBy("start").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     share = all_t / (all_t + all_c)
     least = max(3, math.ceil(math.log(1e-9) / math.log(share)))
     odds = F.log((F.col("t") + 0.5) / (all_t + 1)) - F.log((F.col("c") + 0.5) / (all_c + 1))
     found = starts.withColumn("w", odds).filter((F.col("t") >= least) & (F.col("w") >= math.log(20)))
-    rows = found.orderBy(F.desc(F.col("t") * F.col("w")), "start").limit(TERMS_MOST).collect()
-    by = {r.start: (r.t, r.w) for r in rows}
-    closed = {s for s in by if not any(len(q) == len(s) + 1 and q.startswith(s) and by[q][0] >= 0.9 * by[s][0] for q in by)}
+    by = {r.start: (r.t, r.w) for r in found.collect()}  # as many as labelled rows, which are bounded, can support
+    longer = {q[:-1] for q in by if q[-1] != " " and q[:-1] in by and by[q][0] >= 0.9 * by[q[:-1]][0]}
     kept: dict[str, float] = {}
-    for s in sorted(closed, key=lambda s: (len(s), s)):
-        if not any(s[:n] in kept and kept[s[:n]] >= by[s][1] - 1 for n in range(SHORTEST, len(s))):
+    for s in sorted(by, key=lambda s: (s[-1] == " ", len(s), s)):
+        if s not in longer and not any(s[:n] in kept and kept[s[:n]] >= by[s][1] - 1 for n in range(SHORTEST, min(len(s), LONGEST + 1))):
             kept[s] = by[s][1]
     return kept
 
@@ -189,14 +200,14 @@ def _phrases(sample: DataFrame, terms: dict[str, float]) -> list[str]:
             out, toxic = [], []
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 w = fold(text).split()
-                at = [i for i, x in enumerate(w) if any(x[:n] in terms for n in range(SHORTEST, min(len(x), LONGEST) + 1))]
+                at = [i for i, x in enumerate(w) if f"{x} " in terms or any(x[:n] in terms for n in range(SHORTEST, min(len(x), LONGEST) + 1))]
                 pairs = {f"{w[j]} {w[j + 1]}" for i in at for j in (i - 1, i) if 0 <= j < len(w) - 1}
                 out += pairs
                 toxic += [int(label > 0)] * len(pairs)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int64())], ["phrase", "toxic"])
 
     counted = sample.dropDuplicates(["text"]).mapInArrow(made, "phrase string, toxic long").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    return [r.phrase for r in counted.filter("t = 0 and n >= 5").orderBy(F.desc("n"), "phrase").limit(PHRASES_MOST).collect()]
+    return [r.phrase for r in counted.filter("t = 0 and n >= 3").orderBy("phrase").collect()]
 
 
 def _curve(rows: list[tuple[float, int, int]], model: Model) -> Model:
