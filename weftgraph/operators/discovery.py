@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, vectors
+from ..sources.staging import small, staged
 
 AXES = 3
+TILE = 1024  # vectors of a cell that are scored against as many of another at once
 SEED = 20240229
 
 
@@ -54,8 +56,10 @@ def similar_pairs(rows: DataFrame, threshold: float, metric: str, dim: int, stri
     A score bounds the distance of two vectors (of their directions, for the
     cosine; by the greatest norm, for the dot product), and a projection
     shortens no distance by making it longer, so such vectors lie in the same
-    or in neighbouring cells of a grid over a few projections.  Candidates
-    are scored exactly; nothing is lost.  Zero vectors have cosine 0 with all
+    or in neighbouring cells of a grid over a few projections.  Cells are cut
+    into tiles of about TILE vectors; only tiles are paired by cell, and each
+    pair of tiles is scored by one matrix product, the pairs that may reach
+    the threshold then exactly.  Nothing is lost.  Zero vectors have cosine 0 with all
     and pair with all only where the threshold allows that.
     """
     rows = rows.filter(F.col("v").isNotNull()).select("id", vectors.doubles(F.col("v")).alias("v"), vectors.squared_norm(F.col("v")).alias("q"))
@@ -77,23 +81,73 @@ def similar_pairs(rows: DataFrame, threshold: float, metric: str, dim: int, stri
         radius = math.sqrt(max(0.0, 2 * most - 2 * threshold))
     width = max(radius, 1e-6) * (1 + 1e-6) + 1e-7
     axes = [F.floor(vectors._sum(F.zip_with("p", F.array(*[F.lit(x) for x in d]), lambda a, b: a * b)) / F.lit(width)).cast("long") for d in _directions(dim)]
-    own = base.select("id", "v", "q", F.array(*axes).alias("cell"))
+    cells = base.select("id", "v", F.array(*axes).alias("cell"))
     shifts = [[]]
     for _ in axes:
         shifts = [[*s, d] for s in shifts for d in (-1, 0, 1)]
     moved = F.array(*[F.array(*[F.get("cell", F.lit(i)) + d for i, d in enumerate(s)]) for s in shifts])
-    other = own.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("q").alias("q2"), F.explode(moved).alias("cell"))
-    met = own.join(other, "cell").filter("id < id2")
-    if metric == "l2":
-        score = -F.sqrt(vectors._sum(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b))))
-    else:
-        score = vectors._sum(F.zip_with("v", "v2", lambda a, b: a * b))
-        if metric == "cosine":
-            size = F.sqrt("q") * F.sqrt("q2")
-            score = F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / size))).otherwise(F.lit(0.0))
-    met = met.withColumn("score", score)
-    met = met.filter(F.col("score") > threshold if strict else F.col("score") >= threshold)
-    return met.select(F.col("id").alias("from"), F.col("id2").alias("to"), "score")
+    own, tiles = _tiled(cells)
+    away = tiles.select(F.col("tile").alias("a"), F.col("cell").alias("own"), F.explode(moved).alias("cell"))
+    pairs = away.join(tiles.select(F.col("tile").alias("b"), "cell"), "cell").filter("a <= b").select("a", "b").distinct()
+    pairs = staged(pairs, "tiles")
+    left = own.join(pairs, own["tile"] == pairs["a"]).select("a", "b", "id", "v")
+    other = own.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("tile").alias("tile2"))
+    ends = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2"))
+    right = other.join(ends, F.col("tile2") == F.col("b2")).select("a2", "b2", F.col("id2").alias("id"), F.col("v2").alias("v"))
+    best = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return best.applyInPandas(_scorer(threshold, metric, strict), f"`from` {kind}, `to` {kind}, score double")
+
+
+def _tiled(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, v, tile) of the vectors and (tile, cell) of the tiles."""
+    many = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("k"))
+    many = staged(many, "cells")
+    number = F.pmod(F.xxhash64("id"), F.col("k"))
+    own = cells.join(F.broadcast(many) if small(many, 100_000) else many, "cell").select("id", "v", "cell", F.concat_ws(" ", F.array_join(F.transform("cell", lambda x: x.cast("string")), " "), number.cast("string")).alias("tile"))
+    own = staged(own, "vectors")
+    return own.select("id", "v", "tile"), own.select("tile", "cell").distinct()
+
+
+def _scorer(threshold: float, metric: str, strict: bool):
+    """All pairs of two tiles that reach the threshold, by one matrix product and exact scores of what may."""
+
+    def scored(key, a, b):
+        import numpy as np
+        import pandas as pd
+
+        none = pd.DataFrame({"from": a["id"][:0], "to": a["id"][:0], "score": np.zeros(0)})
+        if not len(a) or not len(b):
+            return none
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        i, j = a["id"].to_numpy(), b["id"].to_numpy()
+        p, q = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        dots = x @ y.T
+        sizes = np.sqrt(np.maximum(p[:, None] + q[None, :], 0))
+        if metric == "l2":
+            rough = -np.sqrt(np.maximum(p[:, None] + q[None, :] - 2 * dots, 0))
+            slack = 1e-6 * (1 + sizes)  # what cancels out may be as large as the root of a rounding
+        elif metric == "cosine":
+            norms = np.sqrt(p)[:, None] * np.sqrt(q)[None, :]
+            rough = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+            slack = 1e-9
+        else:
+            rough, slack = dots, 1e-9 * (1 + sizes**2)
+        may = rough >= threshold - slack
+        may &= i[:, None] < j[None, :] if key[0] == key[1] else i[:, None] != j[None, :]
+        r, c = np.nonzero(may)
+        if metric == "l2":
+            score = -np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
+        else:
+            score = (x[r] * y[c]).sum(axis=1)
+            if metric == "cosine":
+                size = np.sqrt(p[r]) * np.sqrt(q[c])
+                score = np.clip(np.divide(score, size, out=np.zeros_like(score), where=size > 0), -1.0, 1.0)
+        ok = score > threshold if strict else score >= threshold
+        lo, hi = np.minimum(i[r], j[c])[ok], np.maximum(i[r], j[c])[ok]
+        return pd.DataFrame({"from": lo, "to": hi, "score": score[ok]})
+
+    return scored
 
 
 def text_matches(df: DataFrame, fields: list[str], op: str, needle: str) -> Column:
@@ -104,9 +158,3 @@ def text_matches(df: DataFrame, fields: list[str], op: str, needle: str) -> Colu
     for f in fields:
         out = out | F.coalesce(text_test(F.col(f), op, needle), F.lit(False))
     return out
-
-
-def per_parent(df: DataFrame, parent: list[str], keys: list[Column], most: int) -> DataFrame:
-    """The first ``most`` rows of each parent (a top-k with a partial step before the shuffle)."""
-    w = Window.partitionBy(*parent).orderBy(*keys)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
