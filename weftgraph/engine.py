@@ -130,7 +130,7 @@ class Engine:
             return df.select("id", "out.*") if "out" in df.columns else df
         rows, _ = low.roots(q.root)
         df, names = low.flat(rows, q.root)
-        return df.select(*[F.col(f"`{n}`") for n in names])
+        return df.select(*[F.col(f"`={n}`").alias(n) for n in names])
 
     def nested(self, text: str) -> DataFrame:
         """One row for each root: the selected items, relationships as arrays of structs.

@@ -524,7 +524,10 @@ class Lowering:
     # --- flat results -----------------------------------------------------
 
     def flat(self, df: DataFrame, s: X.Selection, types=None, prefix: str = "") -> tuple[DataFrame, list[str]]:
-        """One row for each path through nested walks, outer where a walk finds nothing; dotted names."""
+        """One row for each path through nested walks, outer where a walk finds nothing; dotted names.
+
+        Columns are the names after a `=`, so that no field is taken for the id of its node.
+        """
         types = types or s.types
         out: dict[str, Column] = {}
         walk = [i for i in s.items if isinstance(i, X.Walk)]
@@ -532,12 +535,12 @@ class Lowering:
             if not isinstance(i, X.Walk):
                 df, c = self.value(df, types, i)
                 out[f"{prefix}{i.alias}"] = c
-        mine = df.select("id", "_key", *(["_hops"] if "_hops" in df.columns else []), *(["_type"] if "_type" in df.columns else []), *(["_parent"] if "_parent" in df.columns else []), *[c.alias(n) for n, c in out.items()])
+        mine = df.select("id", "_key", *(["_hops"] if "_hops" in df.columns else []), *(["_type"] if "_type" in df.columns else []), *(["_parent"] if "_parent" in df.columns else []), *[c.alias(f"={n}") for n, c in out.items()])
         names = list(out)
         for w in walk:
             kids, _ = self.children(mine, types, w)
             below, more = self.flat(kids, w.target, prefix=f"{prefix}{w.alias}.")
-            below = below.select(F.col("_parent").alias("_key"), *[F.col(f"`{n}`") for n in more])
+            below = below.select(F.col("_parent").alias("_key"), *[F.col(f"`={n}`") for n in more])
             mine = mine.join(below, "_key", "left")
             names += more
         return mine, names
