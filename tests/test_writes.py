@@ -48,6 +48,25 @@ def test_bulk_lines(spark, tmp_path):
         json_lines.read(spark, _lines(tmp_path, [*lines, {"type": "node", "labels": ["Item"], "props": {"code": "a"}}]), parse_schema(SCHEMA))
 
 
+def test_lines_without_ids(spark):
+    """Ids given and missing in any order against a plain running maximum."""
+    import random
+
+    rng = random.Random(3)
+    given, top = [], 0
+    for _ in range(400):
+        given.append(rng.choice([None, None, top + rng.randrange(400, 900), rng.randrange(1, 5) * -1]))
+        top = max(top, given[-1] or 0)
+    want, most, run = [], 0, 0
+    for x in given:
+        if x is not None and x > most:
+            most, run = x, 0
+        run += x is None
+        want.append(most + run if x is None else x)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "line long, id long")
+    assert [r.id for r in json_lines._ids(df, "id").orderBy("line").collect()] == want
+
+
 @pytest.fixture
 def engine(spark):
     e = Engine.empty(spark)

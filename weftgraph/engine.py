@@ -42,7 +42,7 @@ class Engine:
         self.graph, self.budget, self.time_limit = graph, budget, time_limit
         self.version = 0
         self.changes: list = []
-        self.receipts: DataFrame | None = None
+        self.receipts: str | None = None  # the folder of receipts of deliveries
 
     @classmethod
     def empty(cls, spark: SparkSession, schema: str | Schema = "", **kw) -> Engine:

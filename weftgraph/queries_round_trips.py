@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions import values, vectors
+from .functions import search, values, vectors
 from .plans.parser import parse_schema
 from .sources import files, json_lines
 from .sources.graph import Graph, export_rels, load, save
@@ -85,6 +85,18 @@ def valid_codes(spark, sf_dir):
     return t.select("code", "n", values.valid_string(F.col("code"), "iso2").alias("valid"))
 
 
+@query("SELECT DISTINCT w AS word, CAST(damerau_levenshtein(w, 'smlal') AS INTEGER) AS edits FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE damerau_levenshtein(w, 'smlal') <= 2")
+def close_words(spark, sf_dir):
+    """Words of part names within two edits of a misspelt one."""
+    words = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return search.close_words(words, "smlal", 2)
+
+
+@query("SELECT p_partkey AS key, upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '')) AS short FROM part")
+def acronyms(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), search.acronym(F.col("p_name")).alias("short"))
+
+
 # --- time --------------------------------------------------------------------------------
 
 
@@ -126,6 +138,12 @@ _deal_keys("lifetimes", "{ Deal { key } } as of 1997-03-01", "born <= TIMESTAMP
 _deal_keys("period_start", "{ Deal { key } } as of start of quarter \"1997Q2\"", "born <= TIMESTAMP '1997-04-01' AND (died IS NULL OR died > TIMESTAMP '1997-04-01')")
 _deal_keys("list_equality", '{ Deal(tags = ["F", "1-URGENT"]) { key } }', "tags = ['F', '1-URGENT']")
 
+@query(f"WITH {HISTORY} SELECT user_id AS key, arg_max(v, t) AS value FROM h GROUP BY 1")
+def live_values(spark, sf_dir):
+    """Live values from recorded ones: the latest in valid time."""
+    return shop(spark, sf_dir).live_from_history().node("User").select("key", "value")
+
+
 # --- loads -----------------------------------------------------------------------------------
 
 _ITEMS = "schema { type Item { code: String size?: Int tags?: String[] next -> Item[] { gap?: Int } } } unique { Item { code } }"

@@ -20,7 +20,7 @@ from ..plans.errors import QueryError
 def _headers(names: list[str]) -> list[str]:
     names = [n.strip() for n in names]
     if not names or any(not n for n in names) or len(set(names)) != len(names):
-        raise QueryError("csv headers must be nonempty and unique")
+        raise QueryError("each csv column needs a name of its own")
     return names
 
 

@@ -198,11 +198,12 @@ def _get(spark: SparkSession, path: str) -> str | None:
 def save(graph: Graph, path: str) -> int:
     """Write a new version of the graph: Parquet per frame and a manifest.
 
-    The pointer to the current version is moved last, so a reader sees the
-    old version or the new one, never a mixture.  Returns the version.
+    The manifest is renamed into its place last and the highest version that
+    has one is current, so a reader sees the old version or the new one, never
+    a mixture, at any moment and after a crash.  Returns the version.
     """
-    spark, current = graph.spark, _get(graph.spark, f"{path}/CURRENT")
-    version = int(current) + 1 if current else 1
+    spark = graph.spark
+    version = max(_versions(spark, path, "v=*"), default=0) + 1
     base = f"{path}/v={version}"
     manifest = {"schema": graph.schema.written(), "nodes": sorted(graph.nodes), "rels": sorted(graph.rels), "history": sorted(f"{a}.{b}" for a, b in graph.history), "intervals": sorted(graph.intervals), "multi_label": graph.multi_label}
     for n in graph.nodes:
@@ -213,23 +214,27 @@ def save(graph: Graph, path: str) -> int:
         graph.changes(a, b).write.mode("overwrite").parquet(f"{base}/history/{a}.{b}")
     for k in graph.intervals:
         graph.interval(k).write.mode("overwrite").parquet(f"{base}/intervals/{k}")
-    _put(spark, f"{base}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
-    p, fs = _hadoop(spark, f"{path}/CURRENT")
-    _put(spark, f"{path}/CURRENT.next", str(version))
-    fs.delete(p, False)
-    fs.rename(_hadoop(spark, f"{path}/CURRENT.next")[0], p)
+    _put(spark, f"{base}/manifest.next", json.dumps(manifest, indent=1, sort_keys=True))
+    p, fs = _hadoop(spark, f"{base}/manifest.json")
+    if not fs.rename(_hadoop(spark, f"{base}/manifest.next")[0], p):
+        raise OSError(f"version {version} of {path} was written by another at the same time")
     return version
 
 
+def _versions(spark: SparkSession, path: str, shape: str) -> list[int]:
+    """Numbers of the versions under ``path`` that have what ``shape`` names."""
+    p, fs = _hadoop(spark, f"{path}/{shape}")
+    return [int(part[2:]) for s in fs.globStatus(p) or [] for part in s.getPath().toString().split("/") if part.startswith("v=") and part[2:].isdigit()]
+
+
 def load(spark: SparkSession, path: str, version: int | None = None) -> Graph:
     """The current (or a named) version of a saved graph."""
     from ..plans.parser import parse_schema
 
     if version is None:
-        current = _get(spark, f"{path}/CURRENT")
-        if current is None:
+        version = max(_versions(spark, path, "v=*/manifest.json"), default=0)
+        if not version:
             raise FileNotFoundError(f"no graph at {path}")
-        version = int(current)
     base = f"{path}/v={version}"
     m = json.loads(_get(spark, f"{base}/manifest.json"))
     read = lambda part, n: spark.read.parquet(f"{base}/{part}/{n}")

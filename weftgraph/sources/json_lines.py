@@ -93,15 +93,29 @@ def read(spark: SparkSession, path: str, schema: Schema) -> Graph:
 
 
 def _ids(df: DataFrame, name: str) -> DataFrame:
-    """Rows without an id get the next one after the highest on any earlier line."""
+    """Rows without an id get the next one after the highest on any earlier line.
+
+    Running maxima and counts are taken within ranges of lines and carried
+    over from the ranges before, of which there are few; no task sees all rows.
+    """
     from pyspark.sql import Window
 
     if not df.filter(F.col(name).isNull()).limit(1).count():
         return df
-    # Runs of rows without id continue from the running maximum; the window is over lines alone.
-    w = Window.orderBy("line")
-    rows = df.select("line", name).withColumn("most", F.coalesce(F.max(name).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    run = F.sum(F.col(name).isNull().cast("long")).over(Window.partitionBy("most").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    given = rows.withColumn("next", F.col("most") + run).select("line", F.coalesce(name, "next").alias("_given"))
-    return df.join(given, "line").withColumn(name, F.col("_given")).drop("_given")
-
+    dealt = staged(df.select("line", F.col(name).alias("given")).repartitionByRange("line").withColumn("part", F.spark_partition_id()), "dealt")
+    inside = Window.partitionBy("part").orderBy("line")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    zero = F.lit(0).cast("long")
+    parts = dealt.groupBy("part").agg(F.max("given").alias("top"), F.sum(F.col("given").isNull().cast("long")).alias("gaps"))
+    parts = parts.select("part", F.coalesce(F.max("top").over(earlier), zero).alias("top0"), F.coalesce(F.sum("gaps").over(earlier), zero).alias("gaps0"))
+    rows = dealt.join(F.broadcast(parts), "part")
+    rows = rows.withColumn("most", F.greatest("top0", F.coalesce(F.max("given").over(so_far), zero)))
+    rows = rows.withColumn("gaps", F.col("gaps0") + F.sum(F.col("given").isNull().cast("long")).over(so_far))
+    # where a new maximum comes, rows without id count anew from there
+    rows = rows.withColumn("mark", F.when(F.col("given") > F.coalesce(F.lag("most").over(inside), F.col("top0")), F.col("gaps")))
+    marks = rows.groupBy("part").agg(F.max("mark").alias("last"))
+    marks = marks.select("part", F.coalesce(F.max("last").over(earlier), zero).alias("mark0"))
+    rows = rows.join(F.broadcast(marks), "part").withColumn("base", F.coalesce(F.max("mark").over(so_far), F.col("mark0")))
+    numbers = rows.select("line", F.coalesce("given", F.col("most") + F.col("gaps") - F.col("base")).alias("_given"))
+    return df.join(numbers, "line").withColumn(name, F.col("_given")).drop("_given")

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..plans.errors import QueryError
-from ..sources.staging import staged
+from ..sources.staging import shared_dir
 
 RECEIPT = "source_id string, txid string, payload string, result string"
 
@@ -24,11 +25,19 @@ class Deliveries:
     def __init__(self, engine: Engine):
         self.engine = engine
         if engine.receipts is None:
-            engine.receipts = engine.spark.createDataFrame([], RECEIPT)
+            engine.receipts = f"{shared_dir(engine.spark).rstrip('/')}/receipts-{uuid.uuid4().hex}"
 
     @property
     def receipts(self) -> DataFrame:
-        return self.engine.receipts
+        """All receipts: a folder of Parquet files by source, which deliveries append to."""
+        spark, path = self.engine.spark, self.engine.receipts
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return spark.createDataFrame([], RECEIPT)
+        return spark.read.schema(RECEIPT).parquet(path)
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("source_id").parquet(self.engine.receipts)
 
     def _found(self, source_id: str, txid: str):
         rows = self.receipts.filter((F.col("source_id") == source_id) & (F.col("txid") == txid)).limit(1).collect()
@@ -44,7 +53,7 @@ class Deliveries:
             return json.loads(old.result)
         out = self.engine.transaction(statements)
         row = self.engine.spark.createDataFrame([(source_id, txid, payload, json.dumps(out))], RECEIPT)
-        self.engine.receipts = staged(self.receipts.unionAll(row), "receipts")
+        self._append(row)
         return out
 
     def batch(self, rows: list[tuple[str, str, list[str]]]) -> list:
@@ -53,7 +62,9 @@ class Deliveries:
 
     def forget_before(self, source_id: str, txid: str) -> None:
         """Drop a source's receipts below ``txid``."""
-        self.engine.receipts = staged(self.receipts.filter((F.col("source_id") != source_id) | (F.col("txid") >= txid)), "receipts")
+        kept = self.receipts.filter((F.col("source_id") != source_id) | (F.col("txid") >= txid))
+        old, self.engine.receipts = kept, f"{shared_dir(self.engine.spark).rstrip('/')}/receipts-{uuid.uuid4().hex}"
+        self._append(old)
 
     def stream(self, source: DataFrame, checkpoint: str, trigger: str | None = None):
         """Run a stream of ``source_id, txid, statement, seq`` through micro-batches.

@@ -55,7 +55,7 @@ def check_unique(graph: Graph, names, source: str = "", at=None) -> None:
     """Raise if a unique field of one of ``names`` has a repeated value."""
     for t, f in graph.schema.unique:
         if t in names and unique_violations(graph.node(t), f).limit(1).collect():
-            raise QueryError(f"unique {t} {{ {f} }} is already used", source, at, f"another {t} already has this {f}")
+            raise QueryError(f"unique {t} {{ {f} }} is already used", source, at, f"two {t} would share one {f}")
 
 
 def report(graph: Graph) -> DataFrame:
