@@ -232,8 +232,10 @@ def test_budgets_of_long_documents_are_met():
     assert all(abs(m / (sum(counts) / 300) - 1) < 0.25 for m in means)  # not the longest ones first
 
 
-def test_mix_of_a_hot_size(spark):
-    """One size and source of most rows: the extra documents are exactly as many as the plan says."""
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_mix_of_a_hot_size(spark, monkeypatch, most):
+    """One size and source of most rows, with a broadcast and with a salted plan."""
+    monkeypatch.setattr(mixing, "PLAN_ROWS", most)
     rows = [(i, f"w{i} b c", "en", "a", 0) for i in range(3000)] + [(5000 + i, "x y", "en", "b", 0) for i in range(40)]
     got = mixing.mixed(cases.frame(spark, rows)).collect()
     by = {s: [r.taken for r in got if r["size"] == s] for s in (3, 2)}
@@ -318,3 +320,29 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     starts = sorted((r.start, r.n_tokens) for r in got)
     assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))]
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null ids, repeated rows, long words, clashing columns and an empty table go through every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = cases.documents() + [(7000, cases.prose(rng, 80), "en", "a", 0)] * 3
+    sf = str(tmp_path / "some")
+    docs = cases.frame(spark, rows)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, rows[2][1]), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    found, now = [], spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        now = common.staged(stage(spark, now, sf), "awkward")
+        found.append(now)
+    assert all(sorted(d.columns) == sorted(docs.columns) for d in found[:-1])
+    ids = [sorted(str(r.doc_id) for r in d.select("doc_id").collect()) for d in found[:4]]
+    assert ids[0].count("None") == 1 and ids[0].count("7000") == 3 and not {"300", "301"} & set(ids[0])
+    assert ids[1].count("None") == 1 and ids[1].count("7000") == 3 and "100" in ids[1] and not {"101", "102", "103"} & set(ids[1])
+    assert str(rows[2][0]) in ids[1] and str(rows[2][0]) not in ids[2] and set(ids[2]) == set(ids[1]) - {str(rows[2][0])}
+    assert set(ids[3]) <= set(ids[2]) and found[4].count() == len(ids[3])
+    none = str(tmp_path / "none")
+    docs.filter("false").write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
