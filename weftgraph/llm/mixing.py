@@ -13,7 +13,8 @@ to what is left, with the step that reached it).  The same for the documents lef
 nearer one is taken.  Which documents of a size are taken is drawn by a seeded
 hash: the plan says how many, a hash bucket's place tells which.  A size of c
 documents has about sqrt(c) buckets, so no group is ranked as a whole, and
-joins with the plan are salted, so no size meets it in one task.
+the plan is broadcast up to ``PLAN_ROWS`` rows and salted beyond, so no size
+meets it in one task.
 
 The driver sees one row for each source; a task holds the distinct sizes of
 one source.
@@ -35,6 +36,7 @@ CYCLE = (1, 2, 3)
 MOST = 3
 DP_WORDS = 60_000  # least width of the programme; it grows with the largest size
 SALTS = 16
+PLAN_ROWS = 100_000  # (source, size) pairs that are broadcast, about 10 MB
 
 
 def targets_for(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -169,20 +171,28 @@ def mixed(docs: DataFrame, seed: int = 20240229, id_col: str = "doc_id", text_co
     sources, plan = _plan(measured, seed)
     few = size_few(sources)
     rows = measured.join(F.broadcast(sources) if few else sources, measured["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "draw", "source_size", "target", "no")
-    rows = rows.withColumn("salt", F.pmod("draw", F.lit(SALTS)).cast("int")).join(_salted(plan), ["no", "size", "salt"])
-    return _chosen(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "draw")
+    few_sizes = common.size_at_most(plan, PLAN_ROWS)
+    return _chosen(_met(rows, plan, few_sizes), few_sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "draw")
 
 
 def size_few(sources: DataFrame) -> bool:
     return common.size_at_most(sources, 100_000)
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    """Every row once for each salt."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _met(rows: DataFrame, sizes: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row for each (no, size).
+
+    Few rows (checked) are broadcast; more are shuffled once for each salt, so
+    that a size that very many documents have is not one task's.  Exploded
+    rows are never broadcast, whatever the planner thinks of their size.
+    """
+    if few:
+        return rows.join(F.broadcast(sizes), ["no", "size"], how)
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return rows.withColumn("salt", F.pmod("draw", F.lit(SALTS)).cast("int")).join(salted, ["no", "size", "salt"], how).drop("salt")
 
 
-def _chosen(rows: DataFrame) -> DataFrame:
+def _chosen(rows: DataFrame, few: bool) -> DataFrame:
     """``copies``: the passes, and one more for the ``extra`` least draws of a size.
 
     The draw of the last document taken lies in one bucket of draws; buckets
@@ -193,7 +203,7 @@ def _chosen(rows: DataFrame) -> DataFrame:
     counted = rows.filter("extra > 0").groupBy("no", "size", "bucket").agg(F.count(F.lit(1)).alias("here"), F.first("extra").alias("wanted"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy("no", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = counted.withColumn("before", before).filter("before < wanted and before + here >= wanted").select("no", "size", F.col("bucket").alias("cut"), (F.col("wanted") - F.col("before")).alias("rest"))
-    rows = rows.join(_salted(cut), ["no", "size", "salt"], "left")
+    rows = _met(rows, cut, few, "left")
     edge = rows.filter("bucket = cut").withColumn("rank", F.row_number().over(Window.partitionBy("no", "size").orderBy("draw", "doc_id")))
     edge = edge.select(*rows.columns, (F.col("rank") <= F.col("rest")).cast("int").alias("more"))
     other = rows.filter("cut is null or bucket <> cut").withColumn("more", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)).cast("int"))
