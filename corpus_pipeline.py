@@ -12,6 +12,11 @@ last return the columns of ``documents``:
 5. token files: the rows read back from the wavelet matrices,
    ``doc_id, start, n_tokens, ids_crc32``.
 
+Null texts are empty and fail the quality rules.  Rows with a null id are
+linked with nothing and go on by their text; repeated rows of a kept id all
+stay; further columns, whatever their names, go through to the mixed table; an
+empty table gives no row.  Whole texts of any length are read at every stage.
+
 SQL cannot express the MinHash components, the budget fitting and the
 tokenizer, so ORACLE_SQL is None; tests compare ``run`` with a brute-force
 version on a small table.
