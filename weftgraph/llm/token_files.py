@@ -35,7 +35,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
 PARTS_MOST = 50_000  # parts grow beyond that many, so the table of parts stays small
-CHUNKS_MOST = 300_000
+CHUNKS_MOST = 800_000
 BATCH_BYTES = 4 << 20  # of text that is cut into chunks at once, whole documents
 GROUP = 2000  # chunks that are encoded as one text
 WORD_END = "</w>"
