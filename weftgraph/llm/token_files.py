@@ -35,7 +35,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 32 << 20
 PARTS_MOST = 50_000  # parts grow beyond that many, so the table of parts stays small
-CHUNKS_MOST = 800_000
+CHUNKS_MOST = 300_000
 BATCH_BYTES = 4 << 20  # of text that is cut into chunks at once, whole documents
 GROUP = 2000  # chunks that are encoded as one text
 WORD_END = "</w>"
@@ -213,6 +213,18 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, self.kind), 0
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keep(self, kept) -> None:
+        """Drop all chunks of the table but ``kept``, those that a batch has in common with batches before it."""
+        import pyarrow as pa
+
+        np = self.np
+        starts, sizes = self.starts[kept], self.sizes[kept]
+        stops = np.cumsum(sizes)
+        ids = self.ids[np.repeat(starts - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.chunks = pa.concat_arrays([self.chunks.take(pa.array(kept, pa.int64()))])
+        self.starts, self.sizes, self.used = stops - sizes, sizes, len(ids)
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, self.kind)])
+
     def _encoded(self, texts: list[str]):
         return [self.np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -268,8 +280,10 @@ class Encoder:
         gaps = np.flatnonzero(at < 0)
         if len(gaps):
             if len(self.chunks) + len(gaps) > CHUNKS_MOST:
-                self._emptied()
-                gaps = np.arange(len(chunks))
+                known = at >= 0
+                kept = np.unique(at[known])
+                self._keep(kept)
+                at[known] = np.searchsorted(kept, at[known])
             missing = chunks.take(pa.array(gaps))
             ids, starts, sizes = self._cut(missing.to_pylist())
             at[gaps] = len(self.chunks) + np.arange(len(gaps))
