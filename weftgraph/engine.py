@@ -242,6 +242,28 @@ class Engine:
         self.version += 1
         self.changes.append((self.version, log))
 
+    def _edit(self, change) -> None:
+        from .writes.mutate import Writer
+
+        writer = Writer(self.graph, "", None, self.budget)
+        change(writer)
+        self._commit(writer.graph, writer.log)
+
+    def delete_nodes(self, ids: DataFrame | list[int]) -> None:
+        """Delete nodes by ``id`` with their relationships, many at once."""
+        found = self.spark.createDataFrame([(i,) for i in ids], "id bigint") if isinstance(ids, list) else ids
+        self._edit(lambda w: w.delete_nodes(found))
+
+    def delete_relationships(self, kind: str, ids: DataFrame | list[int]) -> None:
+        """Delete relationships of one kind by ``rel_id``, many at once."""
+        found = self.spark.createDataFrame([(i,) for i in ids], "rel_id bigint") if isinstance(ids, list) else ids
+        self._edit(lambda w: w.delete_relationships(kind, found))
+
+    def connect(self, source: str, field: str, pairs: DataFrame | list[tuple[int, int]]) -> None:
+        """Add ``source.field`` between each pair (``src``, ``dst``) of existing nodes."""
+        found = self.spark.createDataFrame(pairs, "src bigint, dst bigint") if isinstance(pairs, list) else pairs
+        self._edit(lambda w: w.connect_pairs(source, field, found))
+
     def transaction(self, statements: list[str]) -> list:
         """All statements or none."""
         before = (self.graph, self.version, list(self.changes))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import search, values, vectors
+from .operators.proximity import connections, proximity
 from .plans.parser import parse_schema
 from .sources import files, json_lines
 from .sources.graph import Graph, export_rels, load, save
@@ -243,3 +244,54 @@ def mirrored_feed(spark, sf_dir):
     state, _ = changes.mirror(none, feed.filter("version <= 40"))
     state, _ = changes.mirror(staged(state, "state"), feed.filter("version > 20"))
     return state.select("key", "version")
+
+
+# --- ties over two kinds of relationship, edits without a statement ------------------
+
+_KEY = (1 << 40) - 1  # the bits of a node's id that hold its key
+_STEPS = "n AS (SELECT max(p_partkey) + 1 AS n FROM part), e AS (SELECT DISTINCT a, b FROM (SELECT p_partkey AS a, unnest([(p_partkey + 1) % n, (p_partkey * 7 + 1) % n]) AS b FROM part, n)), h1 AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
+
+
+@query(
+    f"WITH {_STEPS}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), h2 AS (SELECT o, b AS p FROM h1 JOIN u ON p = a EXCEPT SELECT o, p FROM h1), "
+    "h3 AS (SELECT o, b AS p FROM h2 JOIN u ON p = a EXCEPT (SELECT o, p FROM h1 UNION SELECT o, p FROM h2)), h AS (SELECT o, 1 AS hops FROM h1 UNION ALL SELECT o, 2 FROM h2 UNION ALL SELECT o, 3 FROM h3) "
+    "SELECT o AS key, CAST(hops AS BIGINT) AS hops, count(*) AS parts FROM h GROUP BY 1, 2"
+)
+def proximity_hops(spark, sf_dir):
+    """How many parts are one, two and three hops from each order: contained, or a step from those."""
+    g = shop(spark, sf_dir)
+    near = proximity(g.rel("CONTAINS").select(F.col("src").alias("start"), F.col("dst").alias("node")), g.rel("step"), 3)
+    near = near.groupBy("start", F.col("hops").cast("long").alias("hops")).agg(F.count(F.lit(1)).alias("parts"))
+    return near.select(F.col("start").bitwiseAND(_KEY).alias("key"), "hops", "parts")
+
+
+@query(
+    f"WITH {_STEPS}, asked AS (SELECT o_orderkey AS o, (o_orderkey * 13 + 5) % n AS t FROM orders, n), "
+    "d1 AS (SELECT o, b AS p, min(a) AS q FROM h1 JOIN e ON p = a WHERE NOT EXISTS (SELECT 1 FROM h1 x WHERE x.o = h1.o AND x.p = b) GROUP BY 1, 2), "
+    "d2 AS (SELECT o, b AS p, min(a) AS q FROM d1 JOIN e ON p = a WHERE NOT EXISTS (SELECT 1 FROM h1 x WHERE x.o = d1.o AND x.p = b) AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.o = d1.o AND x.p = b) GROUP BY 1, 2) "
+    "SELECT asked.o AS key, CASE WHEN h1.o IS NOT NULL THEN 'named' WHEN x.o IS NOT NULL OR y.o IS NOT NULL THEN 'linked' ELSE 'none' END AS way, "
+    "CASE WHEN h1.o IS NOT NULL THEN '' || t WHEN x.o IS NOT NULL THEN x.q || ' ' || t WHEN y.o IS NOT NULL THEN z.q || ' ' || y.q || ' ' || t END AS route "
+    "FROM asked LEFT JOIN h1 ON h1.o = asked.o AND h1.p = t LEFT JOIN d1 x ON x.o = asked.o AND x.p = t LEFT JOIN d2 y ON y.o = asked.o AND y.p = t LEFT JOIN d1 z ON z.o = asked.o AND z.p = y.q"
+)
+def connection_ways(spark, sf_dir):
+    """How each order is tied to one part, over what it contains and two steps on at most."""
+    g = shop(spark, sf_dir)
+    n = F.broadcast(g.node("Part").agg((F.max("key") + 1).alias("n")))
+    asked = g.node("Order").crossJoin(n).select(F.col("id").alias("start"), (F.lit(NUMBERS["Part"] << 40) + (F.col("key") * 13 + 5) % F.col("n")).alias("node"))
+    named = g.rel("CONTAINS").select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    found = connections(asked, named, g.rel("step"), most=2)
+    route = F.array_join(F.transform("nodes", lambda x: x.bitwiseAND(_KEY).cast("string")), " ")
+    return found.select(F.col("start").bitwiseAND(_KEY).alias("key"), "way", route.alias("route"))
+
+
+@query("SELECT CAST(c_custkey % 25 AS BIGINT) AS nation, count(*) AS customers FROM customer WHERE c_acctbal >= 0 GROUP BY 1")
+def direct_edits(spark, sf_dir):
+    """Customers below zero and all ties to nations deleted, those that stay tied to other nations, by ids alone."""
+    g = shop(spark, sf_dir)
+    kept = replace(g, nodes={k: g.node(k) for k in ("Customer", "Nation")}, rels={"FROM": g.rel("FROM")}, history={}, intervals={})
+    e = Engine(kept)
+    e.delete_nodes(g.node("Customer").filter("acctbal < 0").select("id"))
+    e.delete_relationships("FROM", g.rel("FROM").select("rel_id"))
+    left = e.graph.node("Customer")
+    e.connect("Customer", "nation", left.select(F.col("id").alias("src"), (F.lit(NUMBERS["Nation"] << 40) + F.col("key") % 25).alias("dst")))
+    return e.graph.rel("FROM").groupBy(F.col("dst").bitwiseAND(_KEY).alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
