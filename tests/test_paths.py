@@ -8,6 +8,8 @@ import pytest
 from weftgraph.engine import Engine
 from weftgraph.operators import paths, walks
 from weftgraph.plans.errors import QueryError
+from weftgraph.plans.parser import parse_schema
+from weftgraph.sources.graph import Graph
 
 
 def _graph(seed, n, m, zero=False):
@@ -93,3 +95,27 @@ def test_path_statements(spark):
         q(" by &km")
     with pytest.raises(QueryError, match="bounded by @cost"):
         q("(@hops < 3) by &km")
+
+
+def test_work_is_counted_and_bounded(spark):
+    """A line of four roads to the goal and a line of eight away from it."""
+    schema = parse_schema("schema { type Stop { n: Int at?: Point road -> Stop[] { km?: Float<km> } } }")
+    places = {i: (0.0, 0.01 * i) for i in range(1, 6)} | {10 + i: (0.0, 0.005 - 0.005 * i) for i in range(8)}
+    roads = [(i, i + 1) for i in range(1, 5)] + [(1, 10)] + [(10 + i, 11 + i) for i in range(7)]
+    nodes = spark.createDataFrame([(k, k, p) for k, p in places.items()], "id long, n long, at struct<lat double, lon double>")
+    rels = spark.createDataFrame([(i, a, b, abs(places[a][1] - places[b][1]) * 112.0) for i, (a, b) in enumerate(roads)], "rel_id long, src long, dst long, km double")
+    g = Graph(spark, schema, {"Stop": nodes}, {"road": rels})
+    e = Engine(g, counting=True)
+    path, hops = "{ Stop(n = 1) { road *path%s -> Stop(n = 5) { n } } }", "{ Stop(n = 1) { road *1..2 -> Stop { n } } }"
+    costs, work = [], []
+    for how in (" by &km", " by &km toward at"):
+        costs.append(e.run(path % how)["road"]["cost"])
+        work.append(e.work)
+    assert costs[0] == pytest.approx(costs[1])
+    assert work[1].nodes_expanded < work[0].nodes_expanded and work[1].relationships_read < work[0].relationships_read
+    assert [x["n"] for x in e.run(hops)["road"]] == [2, 10, 3, 11]  # by hops, then id
+    assert (e.work.nodes_expanded, e.work.relationships_read) == (1 + 2, 2 + 2)
+    Engine(g, budget=4).run(hops)
+    for text in (hops, path % "", "{ Stop(has road within 4 hops(n = 5)) { n } }"):
+        with pytest.raises(QueryError, match="reads more than"):
+            Engine(g, budget=3).run(text)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates
+from .operators.walks import Work
 from .plans import checker, periods
 from .plans import syntax as X
 from .plans.errors import QueryError
@@ -38,8 +39,9 @@ class StageResult:
 
 
 class Engine:
-    def __init__(self, graph: Graph, budget: int | None = None, time_limit: float | None = None):
-        self.graph, self.budget, self.time_limit = graph, budget, time_limit
+    def __init__(self, graph: Graph, budget: int | None = None, time_limit: float | None = None, counting: bool = False):
+        self.graph, self.budget, self.time_limit, self.counting = graph, budget, time_limit, counting
+        self.work = Work()  # of the last statement, if it was counted
         self.version = 0
         self.changes: list = []
         self.receipts: str | None = None  # the folder of receipts of deliveries
@@ -105,6 +107,13 @@ class Engine:
         checker.check(self.graph.schema, doc.statements[0], text)
         return doc.statements[0]
 
+    def _work(self) -> Work | None:
+        """A new count of what a statement reads, where a budget or the caller asks for one."""
+        if self.budget is None and not self.counting:
+            return None
+        self.work = Work(self.budget)
+        return self.work
+
     def _lowering(self, q: X.Query, text: str) -> Lowering:
         """The view that a query reads: now, or as of its date."""
         g, types = self.graph, q.root.types if q.root else ()
@@ -117,7 +126,7 @@ class Engine:
             unit = q.series[2]
             samples = tuple(dates.samples(a, b, unit) if unit in ("day", "week", "month") else periods.overlapping(g, types, unit, a, b))
         view = g.at(periods.instant(g, types, q.as_of, False, text)) if q.as_of else g
-        return Lowering(view, Context(text, samples, self.budget, g))
+        return Lowering(view, Context(text, samples, self._work(), g))
 
     # --- reads as DataFrames ----------------------------------------------
 
@@ -232,7 +241,7 @@ class Engine:
     def _write(self, m: X.Mutation, text: str, sources=None):
         from .writes.mutate import Writer
 
-        writer = Writer(self.graph, text, sources, self.budget)
+        writer = Writer(self.graph, text, sources, self._work())
         out = writer.run(m)
         self._commit(writer.graph, writer.log)
         return out
@@ -245,7 +254,7 @@ class Engine:
     def _edit(self, change) -> None:
         from .writes.mutate import Writer
 
-        writer = Writer(self.graph, "", None, self.budget)
+        writer = Writer(self.graph, "", None)
         change(writer)
         self._commit(writer.graph, writer.log)
 

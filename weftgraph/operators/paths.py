@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
+from .walks import Work
 
 MARGIN = 0.99  # an edge may be this much shorter than its straight line
 LAYERS = 4
@@ -50,7 +51,7 @@ def _ahead(goals: DataFrame, points: DataFrame):
     return lines[0] if len(lines) == 1 else F.least(*lines)
 
 
-def routes(starts: DataFrame, adjacency: DataFrame, goals: DataFrame, weight: str | None = None, kind: str = "edge", bound: tuple[str, float] | None = None, points: DataFrame | None = None, unit_metres: float | None = None) -> DataFrame:
+def routes(starts: DataFrame, adjacency: DataFrame, goals: DataFrame, weight: str | None = None, kind: str = "edge", bound: tuple[str, float] | None = None, points: DataFrame | None = None, unit_metres: float | None = None, work: Work | None = None) -> DataFrame:
     """``start, goal, cost, hops, nodes, rels`` of the best route of each start that has one.
 
     ``starts`` and ``goals`` have ``id``; ``bound`` is (< or <=, most).  With
@@ -80,6 +81,8 @@ def routes(starts: DataFrame, adjacency: DataFrame, goals: DataFrame, weight: st
         step = frontier.join(known, "start", "left").filter(F.col("most").isNull() | (F.col("cost") <= F.col("most")))
         if weight is None:  # a level at a time: whoever has a goal is done
             step = step.filter(F.col("most").isNull())
+        if work:
+            work.level(step, edges)
         step = step.join(edges, step["node"] == edges["src"]).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("new"), F.col("cost").alias("pcost"), F.when(F.col("w") > 0, 0).otherwise(F.col("layer") + 1).alias("layer"), F.col("src").alias("pred"), F.col("rel_id").alias("rel"), "most", "ahead")
         total = F.col("new") + F.col("ahead")
         step = step.filter(F.col("node") != F.col("start")).filter(F.col("most").isNull() | (total <= F.col("most")))

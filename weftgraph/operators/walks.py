@@ -7,6 +7,8 @@ Levels are staged in the shared folder where more of them follow.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,28 @@ from ..sources.staging import staged
 LAZY_LEVELS = 2  # levels that may be recomputed instead of staged
 
 
-def _spent(frontier: DataFrame, adjacency: DataFrame, budget: int | None, spent: int) -> int:
-    """Relationships read so far; an error beyond the budget."""
-    if budget is None:
-        return 0
-    spent += frontier.select(F.col("node").alias("src")).join(adjacency.select("src"), "src").count()
-    if spent > budget:
-        raise QueryError(f"the walk reads more than {budget} relationships", hint="narrow the start, the condition or the hops")
-    return spent
+@dataclass
+class Work:
+    """What the walks and paths of one statement have read; an error beyond the budget.
+
+    Counting costs a job for each level, so plans only carry it on request.
+    """
+
+    budget: int | None = None
+    nodes_expanded: int = 0
+    relationships_read: int = 0
+
+    def level(self, frontier: DataFrame, adjacency: DataFrame, back: bool = False) -> None:
+        """Count one step of ``frontier`` (node) along ``adjacency``, or back along it."""
+        far = adjacency.groupBy(F.col("dst" if back else "src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        met = frontier.select("node").join(far, "node", "left").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("read")).first()
+        self.nodes_expanded += met.nodes
+        self.relationships_read += met.read or 0
+        if self.budget is not None and self.relationships_read > self.budget:
+            raise QueryError(f"the walk reads more than {self.budget} relationships", hint="narrow the start, the condition or the hops")
 
 
-def reach(starts: DataFrame, adjacency: DataFrame, low: int, high: int, arrivals: bool = False, budget: int | None = None) -> DataFrame:
+def reach(starts: DataFrame, adjacency: DataFrame, low: int, high: int, arrivals: bool = False, work: Work | None = None) -> DataFrame:
     """``start, node, depth`` (and ``rel_id``) of nodes at a shortest distance in [low, high].
 
     ``starts`` has ``start`` (a key) and ``node``.  With ``arrivals``,
@@ -38,9 +51,9 @@ def reach(starts: DataFrame, adjacency: DataFrame, low: int, high: int, arrivals
     frontier = starts.select("start", "node", F.lit(0).cast("long").alias("place"))
     visited = starts.select("start", "node")
     found: list[DataFrame] = []
-    spent = 0
     for depth in range(1, high + 1):
-        spent = _spent(frontier, edges, budget, spent)
+        if work:
+            work.level(frontier, edges)
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node"), "place", "rel_id")
         best = F.min(F.struct("place", "rel_id")) if arrivals else F.min("rel_id")
         step = step.groupBy("start", "node").agg(best.alias("by"))
@@ -65,7 +78,7 @@ def reach(starts: DataFrame, adjacency: DataFrame, low: int, high: int, arrivals
     return out.select(*keep)
 
 
-def within(ends: DataFrame, adjacency: DataFrame, high: int) -> DataFrame:
+def within(ends: DataFrame, adjacency: DataFrame, high: int, work: Work | None = None) -> DataFrame:
     """``id`` of the nodes that reach another node of ``ends`` (id) in at most ``high`` hops.
 
     Walked backwards.  A node only has to know two different ends that it
@@ -76,6 +89,8 @@ def within(ends: DataFrame, adjacency: DataFrame, high: int) -> DataFrame:
     known = ends.select(F.col("id").alias("node"), F.array("id").alias("reached"))
     total = None
     for depth in range(1, high + 1):
+        if work:
+            work.level(known, edges, back=True)
         step = _two(edges.join(known, edges["dst"] == known["node"]).select(F.col("src").alias("id"), "reached"))
         # an end counts as reached for those who arrive at it
         known = step.unionAll(ends.select("id", F.array("id").alias("reached")))

@@ -33,7 +33,7 @@ class Context:
 
     source: str = ""
     samples: tuple[int, ...] = ()
-    budget: int | None = None
+    work: walks.Work | None = None
     history: Graph | None = None  # the graph before any dated view
 
 
@@ -203,10 +203,10 @@ class Lowering:
                 alive = adj.select(F.col("src").alias("id")).distinct()
             elif s.low == 1:
                 ends = alive if alive is not None else self.graph.nodes_of(targets).select("id")
-                alive = walks.within(ends, adj.select("src", "dst"), s.high)
+                alive = walks.within(ends, adj.select("src", "dst"), s.high, self.context.work)
             else:
                 starts = adj.select("src").distinct().select(F.col("src").alias("start"), F.col("src").alias("node"))
-                found = walks.reach(starts, adj.withColumn("rel_id", F.lit(0).cast("long")), s.low, s.high, budget=self.context.budget)
+                found = walks.reach(starts, adj.withColumn("rel_id", F.lit(0).cast("long")), s.low, s.high, work=self.context.work)
                 if alive is not None:
                     found = found.join(alive.select(F.col("id").alias("node")), "node", "left_semi")
                 alive = found.select(F.col("start").alias("id")).distinct()
@@ -244,7 +244,7 @@ class Lowering:
         adj, targets = self._hop(types, s.rel)
         if not s.low == s.high == 1:
             starts = rows.select("_cur").distinct().select(F.col("_cur").alias("start"), F.col("_cur").alias("node"))
-            adj = walks.reach(starts, adj.withColumn("rel_id", F.lit(0).cast("long")), s.low, s.high, budget=self.context.budget).select(F.col("start").alias("src"), F.col("node").alias("dst"))
+            adj = walks.reach(starts, adj.withColumn("rel_id", F.lit(0).cast("long")), s.low, s.high, work=self.context.work).select(F.col("start").alias("src"), F.col("node").alias("dst"))
         ok = self._passing(targets, s.condition)
         if ok is not None:
             adj = adj.join(ok.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -410,7 +410,7 @@ class Lowering:
                 needs = any(isinstance(i, X.EdgeProp) for i in s.items)
                 keyed = mine.select("_from").distinct().select(F.col("_from").alias("start"), F.col("_from").alias("node"))
                 bounded = self._bounded(adj, types[0], edge)
-                r = walks.reach(keyed, bounded, w.low, w.high, needs, self.context.budget)
+                r = walks.reach(keyed, bounded, w.low, w.high, needs, self.context.work)
                 hop = r.select(F.col("start").alias("_from"), F.col("node").alias("_to"), F.col("depth").alias("_depth"), (F.col("rel_id") if needs else F.lit(None).cast("long")).alias("_rel"))
                 if needs:
                     props = adj.select(F.col("rel_id").alias("_rel"), *[c for c in adj.columns if c.startswith("&")]).dropDuplicates(["_rel"])
@@ -563,7 +563,7 @@ class Lowering:
             points = self.graph.nodes_of(everyone).select("id", F.col(f"{p.toward}.lat").alias("lat"), F.col(f"{p.toward}.lon").alias("lon"))
             unit = METRES[weight_field.unit]
         bound = (p.bound[1], float(p.bound[2])) if p.bound else None
-        found = routes(df.select("id").distinct(), adj, goals, p.weight, edge.kind, bound, points, unit)
+        found = routes(df.select("id").distinct(), adj, goals, p.weight, edge.kind, bound, points, unit, self.context.work)
         cost = F.col("cost").cast("long") if weight_field is None or weight_field.base == "Int" else F.col("cost")
         # the nodes of a route, each with the edge that arrives there
         at = F.posexplode(F.arrays_zip(F.col("nodes").alias("node"), F.concat(F.array(F.lit(None).cast("bigint")), "rels").alias("rel")))
