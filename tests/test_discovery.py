@@ -122,3 +122,33 @@ def test_vectors_and_places_in_queries(mix):
     assert mix.run("{ Item(@distance(at, @point(50, 10)) < 10) { title } }") == [{"title": "Anker"}]
     assert len(mix.run("{ Item(@within_box(at, @point(49, 9), @point(51, 11))) { title } }")) == 2
     assert mix.run("{ Item(@within_box(at, @point(49, 179), @point(51, -179))) { title } }") == []
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """(name, rows) of every table staged by discovery."""
+    from weftgraph.plans import stages
+
+    seen, real = [], discovery.staged
+
+    def staged(df, name="stage"):
+        out = real(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(discovery, "staged", staged)
+    monkeypatch.setattr(stages, "staged", staged)
+    return seen
+
+
+def test_many_nodes_at_one_place_are_paired_without_writing_pairs(spark, written):
+    from weftgraph.plans.parser import parse_schema
+    from weftgraph.sources.graph import Graph
+
+    n = 3000
+    nodes = spark.range(n).selectExpr("id", "named_struct('lat', if(id = 7, 1.001D, 1D), 'lon', 2D) AS at").unionAll(spark.range(n, n + 1).selectExpr("id", "named_struct('lat', 50D, 'lon', 2D) AS at"))
+    found = Engine(Graph(spark, parse_schema("schema { type A { at: Point } }"), {"A": nodes}, {})).pipeline("query { A { @id } } then { near { &at < 1 km } }")[-1]
+    got = found.proposals.selectExpr("count(*)", "count(distinct `from` * 10000 + `to`)", "count_if(measure > 0)", "count_if(`from` >= `to`)").first()
+    assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, n - 1, 0)
+    assert sorted(r.id for r in found.nodes.select("id").collect()) == list(range(n))
+    assert max(rows for _, rows in written) <= n + 1

@@ -8,7 +8,9 @@ whole or leave it as it was.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +24,35 @@ from .plans.errors import QueryError
 from .plans.lowering import Context, Lowering, changes_struct, root_error
 from .plans.parser import Parser, parse_schema
 from .plans.schema import Schema
-from .plans.stages import Found, Stages
+from .plans.stages import EDGES, Found, Stages
 from .sources.graph import Graph, export_nodes, export_rels
-from .sources.staging import staged
+from .sources.staging import empty, staged
 
 
 @dataclass
 class StageResult:
-    """One stage of a pipeline; edges are real, proposals are evidence."""
+    """One stage of a pipeline; edges are real, proposals are evidence.  Nodes and edges are made on first use."""
 
     index: int
     kind: str
-    nodes: DataFrame
-    edges: DataFrame
-    proposals: DataFrame | None = None
+    ends: Callable[[], tuple[DataFrame, DataFrame]]
+    found: Found | None = None
+
+    @cached_property
+    def _both(self) -> tuple[DataFrame, DataFrame]:
+        return self.ends()
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._both[0]
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._both[1]
+
+    @property
+    def proposals(self) -> DataFrame | None:
+        return self.found.edges if self.found else None
 
 
 class Engine:
@@ -199,23 +216,27 @@ class Engine:
                     rels.append(df.select(F.col("_rel").alias("rel_id")).filter("rel_id is not null"))
             scope = staged(_union(ids).distinct(), "scope")
             traced = staged(_union(rels).distinct(), "traced") if rels else None
-        out = [] if q.skip else [self._stage(0, "query", scope, traced, None)]
+        out = [] if q.skip else [self._stage(0, "query", Found(scope, empty(spark, EDGES)), traced, False)]
         stages = Stages(self.graph if not q.as_of else self._lowering(q, text).graph)
         for i, stage in enumerate(q.stages):
-            found = stages.run(scope, stage.condition)
-            scope = found.nodes
+            found = stages.run(found.nodes if i else scope, stage.condition)
             if not stage.skip:
-                out.append(self._stage(i + 1, "then", scope, traced, found))
+                out.append(self._stage(i + 1, "then", found, traced))
         return out
 
-    def _stage(self, index: int, kind: str, nodes: DataFrame, traced: DataFrame | None, found: Found | None) -> StageResult:
-        edges = export_rels(self.graph)
-        if traced is None:
-            edges = edges.filter(F.lit(False))
-        else:
-            edges = edges.join(traced.withColumnRenamed("rel_id", "id"), "id", "left_semi")
-            edges = edges.join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
-        return StageResult(index, kind, export_nodes(self.graph).join(nodes, "id", "left_semi"), edges, found.edges if found else None)
+    def _stage(self, index: int, kind: str, found: Found, traced: DataFrame | None, proposing: bool = True) -> StageResult:
+        graph = self.graph
+
+        def ends():
+            nodes, edges = found.nodes, export_rels(graph)
+            if traced is None:
+                edges = edges.filter(F.lit(False))
+            else:
+                edges = edges.join(traced.withColumnRenamed("rel_id", "id"), "id", "left_semi")
+                edges = edges.join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+            return export_nodes(graph).join(nodes, "id", "left_semi"), edges
+
+        return StageResult(index, kind, ends, found if proposing else None)
 
     def _stages_json(self, stages: list[StageResult]) -> dict:
         out = []

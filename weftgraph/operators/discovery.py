@@ -9,6 +9,7 @@ cells of a grid, similarity an equi-join on the cells of a projection.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,11 @@ from ..functions import geo, vectors
 from ..sources.staging import small, staged
 
 AXES = 3
-TILE = 1024  # vectors of a cell that are scored against as many of another at once
+TILE = 1024  # places of a tile; vectors that are scored against as many others at once
+TILES = 32  # tiles of vectors of one cell, about, so that a vector is sent a bounded number of times
+TILE_MOST = 65_536  # vectors of a tile that one Python worker holds
+TESTED = 2_000_000  # pairs of places that a task tests, about
+PARTS_MOST = 2_000
 SEED = 20240229
 
 
@@ -31,15 +36,60 @@ def stars(rows: DataFrame, key: str = "value") -> DataFrame:
     return met.filter("id <> `from`").select("from", F.col("id").alias("to"), F.col(key).alias("value"))
 
 
+@dataclass
+class Near:
+    """Near places before their ids are paired: ``ids, ids2, one, distance``, each two places of two tiles once.
+
+    Where ``one``, both are the same ids of one place.  What is written and
+    shuffled are tiles, so ids at one place cost no row a pair before ``pairs``.
+    """
+
+    met: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """``from, to, distance``, each pair once."""
+        flat = self.met.select("ids2", "one", "distance", F.explode("ids").alias("x")).select("x", "one", "distance", F.explode("ids2").alias("y"))
+        flat = flat.filter(~F.col("one") | (F.col("x") < F.col("y")))
+        return flat.select(F.least("x", "y").alias("from"), F.greatest("x", "y").alias("to"), "distance")
+
+    def nodes(self) -> DataFrame:
+        """``id`` of what has a pair."""
+        return self.met.filter(~F.col("one") | (F.size("ids") > 1)).select(F.explode(F.array_union("ids", "ids2")).alias("id")).distinct()
+
+
+def near(places: DataFrame, metres: float, strict: bool) -> Near:
+    """Places (id, lat, lon) within ``metres`` of each other; ids must differ.
+
+    Cells of the grid are cut into tiles of about TILE ids, in which the ids
+    of one place are one list; tiles of neighbouring cells are paired, and a
+    distance is computed once for two places, not for two ids.
+    """
+    rows = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("id").isNotNull())
+    rows = staged(rows.select("id", "lat", "lon", geo.cube(F.col("lat"), F.col("lon"), metres).alias("cell")), "places")
+    many = staged(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("k")), "cells")
+    own = rows.join(F.broadcast(many) if small(many, 100_000) else many, "cell")
+    own = own.groupBy("cell", F.pmod(F.xxhash64("id"), F.col("k")).alias("number"), "lat", "lon").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    held = F.collect_list(F.struct("lat", "lon", "ids")).alias("places")
+    tiles = own.groupBy("cell", "number").agg(held, F.sum(F.size("ids")).alias("size"))
+    tiles = staged(tiles.select(F.struct("cell.x", "cell.y", "cell.z", "number").alias("tile"), "places", "size"), "tiles")
+    cell = F.struct("tile.x", "tile.y", "tile.z")
+    away = tiles.select(F.col("tile").alias("a"), F.col("size").alias("n"), F.explode(geo.around(cell)).alias("cell"))
+    ends = tiles.select(F.col("tile").alias("b"), F.col("size").alias("m"), cell.alias("cell"))
+    pairs = staged(away.join(ends, "cell").filter("a <= b").select("a", "b", "n", "m"), "pairs")
+    tested = pairs.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
+    left = tiles.select(F.col("tile").alias("a"), F.col("places").alias("p"))
+    right = tiles.select(F.col("tile").alias("b"), F.col("places").alias("q"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").repartition(int(min(PARTS_MOST, 1 + tested // TESTED)), "a", "b")
+    met = met.select("a", "b", "q", F.explode("p").alias("p")).select("a", "b", "p", F.explode("q").alias("q"))
+    first, other = F.get("p.ids", F.lit(0)), F.get("q.ids", F.lit(0))
+    met = met.filter((F.col("a") < F.col("b")) | (first <= other))
+    met = met.select(F.col("p.ids").alias("ids"), F.col("q.ids").alias("ids2"), (first == other).alias("one"), geo.haversine(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon")).alias("distance"))
+    return Near(met.filter(F.col("distance") < metres if strict else F.col("distance") <= metres))
+
+
 def near_pairs(places: DataFrame, metres: float, strict: bool) -> DataFrame:
     """``from, to, distance`` of places (id, lat, lon) within ``metres`` of each other."""
-    rows = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    own = rows.select("id", "lat", "lon", geo.cube(F.col("lat"), F.col("lon"), metres).alias("cell"))
-    other = own.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(geo.around(F.col("cell"))).alias("cell"))
-    met = own.join(other, "cell").filter("id < id2")
-    met = met.withColumn("distance", geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    met = met.filter(F.col("distance") < metres if strict else F.col("distance") <= metres)
-    return met.select(F.col("id").alias("from"), F.col("id2").alias("to"), "distance")
+    return near(places, metres, strict).pairs()
 
 
 def _directions(dim: int) -> list[list[float]]:

@@ -7,7 +7,8 @@ ends both remain; ``||`` keeps either, without repetition.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,23 @@ from . import syntax as X
 EDGES = "`from` bigint, `to` bigint, primitive string, fields array<string>, value string, measure double"
 
 
-@dataclass
 class Found:
-    nodes: DataFrame
-    edges: DataFrame
+    """Nodes and edges of a stage.
+
+    Nodes may be a function, called on first use.  Without nodes, they are the
+    ends of the edges, which are then written once for both; edges alone are
+    not written, as pairs may be many more than nodes.
+    """
+
+    def __init__(self, nodes: DataFrame | Callable[[], DataFrame] | None, edges: DataFrame):
+        self._nodes, self.edges = nodes, edges
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        if self._nodes is None:
+            self.edges = staged(self.edges, "proposals")
+            return staged(self.edges.select(F.explode(F.array("from", "to")).alias("id")).distinct(), "found")
+        return staged(self._nodes().distinct(), "found") if callable(self._nodes) else self._nodes
 
 
 class Stages:
@@ -34,8 +48,10 @@ class Stages:
     def run(self, nodes: DataFrame, c) -> Found:
         """One condition over a node set; proposals whose ends remain."""
         found = self.evaluate(staged(nodes.select("id").distinct(), "scope"), c)
-        found.nodes = staged(found.nodes.select("id").distinct(), "found")
-        return Found(found.nodes, self._kept(found.edges, found.nodes).distinct())
+        if isinstance(c, (X.Common, X.Similar, X.Close)):  # each pair once, both ends found
+            return found
+        nodes = staged(found.nodes.select("id").distinct(), "found")
+        return Found(nodes, self._kept(found.edges, nodes).distinct())
 
     def _kept(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("id").alias("from")), nodes.select(F.col("id").alias("to"))
@@ -53,9 +69,9 @@ class Stages:
             return Found(nodes, edges.distinct())
         if isinstance(c, X.TextSearch):
             return Found(self.text(scope, c), empty(self.spark, EDGES))
-        edges = self.common(scope, c) if isinstance(c, X.Common) else self.similar(scope, c) if isinstance(c, X.Similar) else self.near(scope, c)
-        edges = staged(edges, "proposals")
-        return Found(edges.select(F.explode(F.array("from", "to")).alias("id")).distinct(), edges)
+        if isinstance(c, X.Close):
+            return self.near(scope, c)
+        return Found(None, self.common(scope, c) if isinstance(c, X.Common) else self.similar(scope, c))
 
     def _typed(self, scope: DataFrame, name: str) -> DataFrame:
         return self.graph.node(name).join(scope, "id", "left_semi")
@@ -104,7 +120,8 @@ class Stages:
         f = owners[0][1]
         return self._evidence(discovery.similar_pairs(rows, c.score, f.metric, f.dim, c.strict), "similar", c.field, "score")
 
-    def near(self, scope: DataFrame, c: X.Close) -> DataFrame:
+    def near(self, scope: DataFrame, c: X.Close) -> Found:
         owners = [n for n, t in self.schema.types.items() if c.field in t.fields and t.fields[c.field].base == "Point"]
         rows = self._union([self._typed(scope, n).select("id", F.col(f"{c.field}.lat").alias("lat"), F.col(f"{c.field}.lon").alias("lon")) for n in owners]).dropDuplicates(["id"])
-        return self._evidence(discovery.near_pairs(rows, c.metres, c.strict), "near", c.field, "distance")
+        met = discovery.near(rows, c.metres, c.strict)
+        return Found(met.nodes, self._evidence(met.pairs(), "near", c.field, "distance"))
