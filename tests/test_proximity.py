@@ -108,3 +108,17 @@ def test_edits_by_id(spark):
     assert e.counts() == {"nodes": 2, "relationships": 1}
     feed = [(r.version, r.node_id, r.op) for r in changes.since(changes.of_engine(e), 4).orderBy("version", "node_id").collect()]
     assert feed == [(5, ids[1], "unlink"), (5, ids[2], "unlink"), (6, ids[3], "delete")]
+
+
+@pytest.mark.parametrize("most", [2, 3])
+def test_proximity_sends_one_row_for_each_named_node(spark, monkeypatch, most):
+    """No pair of start and node is shuffled again for each level; hubs walk by levels, with the same answer."""
+    from weftgraph.operators import proximity as P
+
+    named, links = _random(3)
+    frames = spark.createDataFrame(sorted(named) + [(0, 500)], "start long, node long"), spark.createDataFrame(sorted(links), "src long, dst long")
+    monkeypatch.setattr(P, "DEGREE_MOST", 0, raising=False)
+    want = sorted(map(tuple, P.proximity(*frames, most).collect()))
+    monkeypatch.setattr(P, "DEGREE_MOST", 64, raising=False)
+    monkeypatch.setattr(P, "reach", None)
+    assert sorted(map(tuple, P.proximity(*frames, most).collect())) == want

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 from .walks import reach
 
+DEGREE_MOST = 64  # links of a node whose surroundings are laid out as one row
+NAMED_MOST = 10_000  # nodes of a start that are gathered as one row
+
 
 def both_ways(links: DataFrame) -> DataFrame:
     """``src, dst`` of ``links`` in either direction, once each."""
@@ -20,19 +23,52 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.unionAll(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def _most(rows: DataFrame, key: str) -> int:
+    """The most rows of one ``key``."""
+    return rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
 def proximity(named: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
     """``start, node, hops`` of all nodes at most ``most`` hops from a start.
 
     ``named`` (start, node) are the nodes of one hop; ``links`` (src, dst) are
-    followed both ways.
+    followed both ways.  Up to three hops, what lies around a node is laid out
+    once and sent to the starts that name it, one row for each of those;
+    nodes of more than DEGREE_MOST links and starts of more than NAMED_MOST
+    nodes have all walk level by level.
     """
-    named = named.select("start", "node").distinct()
-    near = named.withColumn("hops", F.lit(1))
+    named = named.select("start", "node")
     if most < 2:
-        return near
-    edges = both_ways(links).withColumn("rel_id", F.lit(0).cast("long"))
-    further = reach(named, edges, 1, most - 1)
-    return near.unionByName(further.select("start", "node", (F.col("depth") + 1).cast("int").alias("hops")))
+        return named.distinct().withColumn("hops", F.lit(1))
+    both = staged(both_ways(links), "links")
+    if most <= 3 and _most(both, "src") <= DEGREE_MOST and _most(named, "start") <= NAMED_MOST:
+        return _around(named, both, most)
+    named = named.distinct()
+    further = reach(named, both.withColumn("rel_id", F.lit(0).cast("long")), 1, most - 1)
+    return named.withColumn("hops", F.lit(1)).unionByName(further.select("start", "node", (F.col("depth") + 1).cast("int").alias("hops")))
+
+
+def _around(named: DataFrame, both: DataFrame, most: int) -> DataFrame:
+    """``start, node, hops`` by the balls of the named nodes; ids travel as 32-bit distances from the least where they fit."""
+    ends = both.agg(F.min("src").alias("lo"), F.max("src").alias("hi")).first()
+    lo = ends.lo or 0
+    kind = "int" if (ends.hi or 0) - lo < 1 << 31 else "bigint"
+    short = both.select("src", "dst", (F.col("dst") - lo).cast(kind).alias("x"))
+    near = short.groupBy("src").agg(F.collect_list("x").alias("near"))
+    ball = near.withColumn("far", F.array().cast(f"array<{kind}>"))
+    if most > 2:
+        beyond = near.select(F.col("src").alias("dst"), F.col("near").alias("beyond"))
+        ball = short.join(beyond, "dst").groupBy("src").agg(F.collect_list("x").alias("near"), F.flatten(F.collect_list("beyond")).alias("far"))
+        own = F.array((F.col("src") - lo).cast(kind))
+        ball = ball.select("src", "near", F.array_except("far", F.concat("near", own)).alias("far"))
+    sent = named.join(ball, named["node"] == ball["src"], "left").select("start", F.struct("node", "near", "far").alias("x"))
+    met = sent.repartition("start").groupBy("start").agg(F.collect_list("x").alias("x"))
+    long_ = lambda c: F.transform(F.flatten(F.filter(c, lambda x: x.isNotNull())), lambda x: x.cast("long") + lo)
+    met = met.select("start", F.array_distinct("x.node").alias("one"), long_("x.near").alias("two"), long_("x.far").alias("three"))
+    met = met.select("start", "one", F.array_except("two", "one").alias("two"), "three")
+    met = met.select("start", "one", "two", F.array_except("three", F.concat("one", "two")).alias("three"))
+    levels = [F.struct(F.lit(i + 1).alias("hops"), F.col(c).alias("nodes")) for i, c in enumerate(("one", "two", "three")[:most])]
+    return met.select("start", F.explode(F.array(*levels)).alias("x")).select("start", "x.hops", F.explode("x.nodes").alias("node")).select("start", "node", "hops")
 
 
 def connections(asked: DataFrame, named: DataFrame, links: DataFrame, official: DataFrame | None = None, most: int | None = None) -> DataFrame:
