@@ -122,3 +122,18 @@ def test_proximity_sends_one_row_for_each_named_node(spark, monkeypatch, most):
     monkeypatch.setattr(P, "DEGREE_MOST", 64, raising=False)
     monkeypatch.setattr(P, "reach", None)
     assert sorted(map(tuple, P.proximity(*frames, most).collect())) == want
+
+
+def test_connections_of_two_links_write_no_levels(spark, monkeypatch):
+    from weftgraph.operators import proximity as P
+
+    named, links = _random(6)
+    asked = [(s, n) for s in range(5) for n in range(30)]
+    frames = spark.createDataFrame(asked, "start long, node long"), spark.createDataFrame(sorted(named), "start long, node long"), spark.createDataFrame(sorted(links), "src long, dst long")
+    monkeypatch.setattr(P, "DEGREE_MOST", 0, raising=False)
+    want = sorted(map(str, P.connections(*frames, most=2).collect()))
+    monkeypatch.setattr(P, "DEGREE_MOST", 64, raising=False)
+    seen, real = [], P.staged
+    monkeypatch.setattr(P, "staged", lambda df, name="stage": seen.append(name) or real(df, name))
+    assert sorted(map(str, P.connections(*frames, most=2).collect())) == want
+    assert set(seen) <= {"asked", "links"}

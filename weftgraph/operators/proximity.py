@@ -84,17 +84,21 @@ def connections(asked: DataFrame, named: DataFrame, links: DataFrame, official:
     """
     asked = staged(asked.distinct(), "asked")
     pairs = asked.select("start", "node").distinct()
+    if most is not None and most <= 2:
+        edges = staged(links.select("src", "dst").distinct(), "links")
+        if _most(edges, "dst") <= DEGREE_MOST and _most(named, "start") <= NAMED_MOST:
+            out = _tied(pairs, named.select("start", "node"), edges, most)
+            out = out.join(_owned(asked, official), ["start", "node"], "left") if official is not None and "path" in asked.columns else out.withColumn("prefix", F.lit(None).cast("string"))
+            prefix = F.when(~F.col("direct"), F.col("prefix"))
+            way = F.when(F.col("direct"), "named").when(F.col("prefix").isNotNull(), "official").when(F.col("nodes").isNotNull(), "linked").otherwise("none")
+            nodes = F.when(F.col("direct") | F.col("prefix").isNotNull(), F.array("node")).otherwise(F.col("nodes"))
+            return out.select("start", "node", way.alias("way"), prefix.alias("prefix"), nodes.alias("nodes"))
     named = named.select("start", "node").distinct().join(pairs.select("start").distinct(), "start", "left_semi")
     named = staged(named, "named")
     direct = staged(pairs.join(named, ["start", "node"], "left_semi"), "direct")
     owned = pairs.limit(0).withColumn("prefix", F.lit(None).cast("string"))
     if official is not None and "path" in asked.columns:
-        prefix = F.regexp_replace(F.lower("prefix"), r"\*$", "")
-        known = official.select("start", prefix.alias("prefix")).filter("prefix <> ''")
-        met = asked.join(known, "start").filter(F.startswith(F.lower("path"), F.col("prefix")))
-        met = met.join(direct, ["start", "node"], "left_anti")
-        longest = F.max(F.struct(F.length("prefix").alias("n"), "prefix")).alias("p")
-        owned = met.groupBy("start", "node").agg(longest).select("start", "node", "p.prefix")
+        owned = _owned(asked.join(direct, ["start", "node"], "left_anti"), official)
     owned = staged(owned, "owned")
     left = pairs.join(direct, ["start", "node"], "left_anti").join(owned, ["start", "node"], "left_anti")
     traced = staged(_linked(staged(left, "left"), named, links, most), "traced")
@@ -105,6 +109,36 @@ def connections(asked: DataFrame, named: DataFrame, links: DataFrame, official:
     return out.select("start", "node", way.alias("way"), "prefix", nodes.alias("nodes"))
 
 
+def _owned(asked: DataFrame, official: DataFrame) -> DataFrame:
+    """``start, node, prefix``: the longest official prefix with which a path begins."""
+    prefix = F.regexp_replace(F.lower("prefix"), r"\*$", "")
+    known = official.select("start", prefix.alias("prefix")).filter("prefix <> ''")
+    met = asked.join(known, "start").filter(F.startswith(F.lower("path"), F.col("prefix")))
+    longest = F.max(F.struct(F.length("prefix").alias("n"), "prefix")).alias("p")
+    return met.groupBy("start", "node").agg(longest).select("start", "node", "p.prefix")
+
+
+def _tied(pairs: DataFrame, named: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """``start, node, direct, nodes`` of ``pairs`` over at most two links, looked up backwards.
+
+    What leads to an asked node in one and two links is laid out once for each
+    node and met by all that its start names, one row for each pair and name.
+    """
+    into = edges.groupBy(F.col("dst").alias("src")).agg(F.collect_list("src").alias("ins"))
+    ball = edges.join(into, "src", "left").groupBy(F.col("dst").alias("node")).agg(F.collect_list(F.struct(F.col("src").alias("b"), "ins")).alias("ball"))
+    pairs = pairs.join(ball, "node", "left").select("start", F.lit(None).cast("long").alias("n"), F.struct("node", "ball").alias("asked"))
+    held = named.filter("start is not null and node is not null").select("start", F.col("node").alias("n")).withColumn("asked", F.lit(None).cast(pairs.schema["asked"].dataType))
+    met = pairs.unionByName(held).repartition("start").groupBy("start").agg(F.collect_list("n").alias("named"), F.collect_list("asked").alias("asked"))
+    met = met.select("start", "named", F.explode("asked").alias("x")).select("start", "named", "x.node", "x.ball")
+    least = lambda xs: F.array_min(F.array_intersect(xs, F.col("named")))
+    two = F.array_min(F.filter(F.transform("ball", lambda x: F.struct(x.b.alias("b"), least(x.ins).alias("c"))), lambda y: y.c.isNotNull()))
+    met = met.select("start", "node", F.coalesce(F.array_contains("named", F.col("node")), F.lit(False)).alias("direct"), least(F.col("ball.b")).alias("one"), two.alias("two"))
+    nodes = F.when(F.col("direct") | F.lit(most < 1), None).when(F.col("one").isNotNull(), F.array("one", "node"))
+    if most > 1:
+        nodes = nodes.when(F.col("two").isNotNull(), F.array("two.c", "two.b", "node"))
+    return met.select("start", "node", "direct", nodes.alias("nodes"))
+
+
 def _linked(asked: DataFrame, named: DataFrame, links: DataFrame, most: int | None) -> DataFrame:
     """``start, node, nodes`` of those of ``asked`` that links lead to.
 
