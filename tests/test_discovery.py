@@ -152,3 +152,15 @@ def test_many_nodes_at_one_place_are_paired_without_writing_pairs(spark, written
     assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, n - 1, 0)
     assert sorted(r.id for r in found.nodes.select("id").collect()) == list(range(n))
     assert max(rows for _, rows in written) <= n + 1
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark, written, monkeypatch):
+    monkeypatch.setattr(discovery, "TILE", 8)
+    rng = random.Random(3)
+    vs = [[float(x) for x in (rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1))] for _ in range(1000)] + [[1.0, 0.0, 0.0, 0.0]] * 200
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "id long, v array<double>")
+    got = [(r["from"], r["to"]) for r in discovery.similar_pairs(df, 0.8, "cosine", 4, False).collect()]
+    want = {(i, j) for i in range(len(vs)) for j in range(i + 1, len(vs)) if _score(vs[i], vs[j], "cosine") >= 0.8}
+    assert len(got) == len(want) and set(got) == want
+    tiles = 32 + 4**3  # those of full cells, and a rest for each cell
+    assert dict(written)["tiles"] <= tiles * (tiles + 1) / 2

@@ -107,12 +107,14 @@ def similar_pairs(rows: DataFrame, threshold: float, metric: str, dim: int, stri
     cosine; by the greatest norm, for the dot product), and a projection
     shortens no distance by making it longer, so such vectors lie in the same
     or in neighbouring cells of a grid over a few projections.  Cells are cut
-    into tiles of about TILE vectors; only tiles are paired by cell, and each
-    pair of tiles is scored by one matrix product, the pairs that may reach
-    the threshold then exactly.  Nothing is lost.  Zero vectors have cosine 0 with all
+    into about TILES tiles, so what is sent grows with the vectors and not with
+    their square; only tiles are paired by cell, and each pair of tiles is
+    scored by matrix products, the pairs that may reach the threshold then
+    exactly.  Nothing is lost.  Zero vectors have cosine 0 with all
     and pair with all only where the threshold allows that.
     """
-    rows = rows.filter(F.col("v").isNotNull()).select("id", vectors.doubles(F.col("v")).alias("v"), vectors.squared_norm(F.col("v")).alias("q"))
+    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows = rows.select("id", F.col("v").alias("raw"), vectors.doubles(F.col("v")).alias("v"), vectors.squared_norm(F.col("v")).alias("q"))
     base, radius = rows.withColumn("p", F.col("v")), None
     if metric == "cosine":
         base = rows.withColumn("p", F.when(F.col("q") > 0, F.transform("v", lambda x: x / F.sqrt("q"))).otherwise(F.col("v")))
@@ -131,71 +133,103 @@ def similar_pairs(rows: DataFrame, threshold: float, metric: str, dim: int, stri
         radius = math.sqrt(max(0.0, 2 * most - 2 * threshold))
     width = max(radius, 1e-6) * (1 + 1e-6) + 1e-7
     axes = [F.floor(vectors._sum(F.zip_with("p", F.array(*[F.lit(x) for x in d]), lambda a, b: a * b)) / F.lit(width)).cast("long") for d in _directions(dim)]
-    cells = base.select("id", "v", F.array(*axes).alias("cell"))
+    cells = base.select("id", "raw", F.array(*axes).alias("cell"))
     shifts = [[]]
     for _ in axes:
         shifts = [[*s, d] for s in shifts for d in (-1, 0, 1)]
     moved = F.array(*[F.array(*[F.get("cell", F.lit(i)) + d for i, d in enumerate(s)]) for s in shifts])
-    own, tiles = _tiled(cells)
-    away = tiles.select(F.col("tile").alias("a"), F.col("cell").alias("own"), F.explode(moved).alias("cell"))
+    most = min(TILE_MOST, max(TILE, -(-rows.count() // TILES)))
+    own, tiles = _tiled(cells, most)
+    away = tiles.select(F.col("tile").alias("a"), F.explode(moved).alias("cell"))
     pairs = away.join(tiles.select(F.col("tile").alias("b"), "cell"), "cell").filter("a <= b").select("a", "b").distinct()
-    pairs = staged(pairs, "tiles")
-    left = own.join(pairs, own["tile"] == pairs["a"]).select("a", "b", "id", "v")
-    other = own.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("tile").alias("tile2"))
-    ends = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2"))
-    right = other.join(ends, F.col("tile2") == F.col("b2")).select("a2", "b2", F.col("id2").alias("id"), F.col("v2").alias("v"))
-    best = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2"))
+    pairs = staged(pairs.withColumn("pair", F.monotonically_increasing_id()), "tiles")
+    sides = pairs.select("pair", F.col("a").alias("tile"), F.lit(0).alias("side")).unionAll(pairs.filter("a <> b").select("pair", "b", F.lit(1)))
+    count = pairs.count()
+    parts = max(1, min(PARTS_MOST, count, count * most * most // (10 * TESTED)))
+    sent = own.join(sides, "tile").select("pair", "side", "id", "raw").repartition(parts, "pair").sortWithinPartitions("pair", "side")
     kind = rows.schema["id"].dataType.simpleString()
-    return best.applyInPandas(_scorer(threshold, metric, strict), f"`from` {kind}, `to` {kind}, score double")
+    return sent.mapInArrow(_scorer(threshold, metric, strict), f"`from` {kind}, `to` {kind}, score double")
 
 
-def _tiled(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, v, tile) of the vectors and (tile, cell) of the tiles."""
-    many = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("k"))
+def _tiled(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(id, raw, tile) of the vectors and (tile, cell) of the tiles of about ``most`` vectors."""
+    many = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("k"))
     many = staged(many, "cells")
     number = F.pmod(F.xxhash64("id"), F.col("k"))
-    own = cells.join(F.broadcast(many) if small(many, 100_000) else many, "cell").select("id", "v", "cell", F.concat_ws(" ", F.array_join(F.transform("cell", lambda x: x.cast("string")), " "), number.cast("string")).alias("tile"))
+    own = cells.join(F.broadcast(many) if small(many, 100_000) else many, "cell").select("id", "raw", "cell", F.concat_ws(" ", F.array_join(F.transform("cell", lambda x: x.cast("string")), " "), number.cast("string")).alias("tile"))
     own = staged(own, "vectors")
-    return own.select("id", "v", "tile"), own.select("tile", "cell").distinct()
+    return own.select("id", "raw", "tile"), own.select("tile", "cell").distinct()
 
 
 def _scorer(threshold: float, metric: str, strict: bool):
-    """All pairs of two tiles that reach the threshold, by one matrix product and exact scores of what may."""
+    """All pairs of two tiles that reach the threshold, by matrix products and exact scores of what may.
 
-    def scored(key, a, b):
+    Rows (pair, side, id, raw) come by pair; a tile paired with itself has one
+    side.  Answers leave block by block, so many of them need no memory.
+    """
+
+    def block(i, x, p, j, y, q, alone):
         import numpy as np
-        import pandas as pd
-
-        none = pd.DataFrame({"from": a["id"][:0], "to": a["id"][:0], "score": np.zeros(0)})
-        if not len(a) or not len(b):
-            return none
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        i, j = a["id"].to_numpy(), b["id"].to_numpy()
-        p, q = (x * x).sum(axis=1), (y * y).sum(axis=1)
+
         dots = x @ y.T
-        sizes = np.sqrt(np.maximum(p[:, None] + q[None, :], 0))
         if metric == "l2":
-            rough = -np.sqrt(np.maximum(p[:, None] + q[None, :] - 2 * dots, 0))
-            slack = 1e-6 * (1 + sizes)  # what cancels out may be as large as the root of a rounding
+            total = p[:, None] + q[None, :]
+            rough = -np.sqrt(np.maximum(total - 2 * dots, 0))
+            slack = 1e-6 * (1 + np.sqrt(total))  # what cancels out may be as large as the root of a rounding
         elif metric == "cosine":
             norms = np.sqrt(p)[:, None] * np.sqrt(q)[None, :]
             rough = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
             slack = 1e-9
         else:
-            rough, slack = dots, 1e-9 * (1 + sizes**2)
+            rough, slack = dots, 1e-9 * (1 + p[:, None] + q[None, :])
         may = rough >= threshold - slack
-        may &= i[:, None] < j[None, :] if key[0] == key[1] else i[:, None] != j[None, :]
+        may &= i[:, None] < j[None, :] if alone else i[:, None] != j[None, :]
         r, c = np.nonzero(may)
-        if metric == "l2":
-            score = -np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
-        else:
-            score = (x[r] * y[c]).sum(axis=1)
-            if metric == "cosine":
-                size = np.sqrt(p[r]) * np.sqrt(q[c])
-                score = np.clip(np.divide(score, size, out=np.zeros_like(score), where=size > 0), -1.0, 1.0)
-        ok = score > threshold if strict else score >= threshold
-        lo, hi = np.minimum(i[r], j[c])[ok], np.maximum(i[r], j[c])[ok]
-        return pd.DataFrame({"from": lo, "to": hi, "score": score[ok]})
+        for at in range(0, len(r), TILE * 64):  # whole vectors are gathered for some pairs at a time
+            s, d = r[at : at + TILE * 64], c[at : at + TILE * 64]
+            if metric == "l2":
+                score = -np.sqrt(((x[s] - y[d]) ** 2).sum(axis=1))
+            else:
+                score = (x[s] * y[d]).sum(axis=1)
+                if metric == "cosine":
+                    size = np.sqrt(p[s]) * np.sqrt(q[d])
+                    score = np.clip(np.divide(score, size, out=np.zeros_like(score), where=size > 0), -1.0, 1.0)
+            ok = score > threshold if strict else score >= threshold
+            yield np.minimum(i[s], j[d])[ok], np.maximum(i[s], j[d])[ok], score[ok]
+
+    def scored(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def answers(rows):
+            table = pa.Table.from_batches(rows)
+            side, ids = table["side"].to_numpy(), table["id"].to_numpy()
+            raw = table["raw"].combine_chunks()
+            v = raw.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            q = (v * v).sum(axis=1)
+            first = int((side == 0).sum())
+            alone = first == len(ids)
+            for a in range(0, first, TILE):
+                end = min(a + TILE, first)
+                for b in range(0 if alone else first, len(ids), TILE):
+                    for lo, hi, score in block(ids[a:end], v[a:end], q[a:end], ids[b : b + TILE], v[b : b + TILE], q[b : b + TILE], alone):
+                        if len(lo):
+                            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(score)], names=["from", "to", "score"])
+
+        held, current = [], None
+        for batch in batches:
+            pair = batch.column("pair").to_numpy()
+            edges = [0, *(np.nonzero(np.diff(pair))[0] + 1).tolist(), len(pair)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if held and pair[lo] != current:
+                    yield from answers(held)
+                    held = []
+                current = pair[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from answers(held)
 
     return scored
 
