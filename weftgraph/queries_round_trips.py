@@ -58,11 +58,12 @@ def path_nodes(spark, sf_dir):
     g = shop(spark, sf_dir)
     turns = g.node("Turn")
     ends = g.rel("next")
-    last = turns.join(ends.select(F.col("src").alias("id")), "id", "left_anti").withColumn("role", F.lit("last"))
-    first = turns.join(ends.select(F.col("dst").alias("id")), "id", "left_anti").select("conv", F.col("turn").alias("from_turn"))
-    marked = turns.join(last.select("id"), "id", "left_anti").unionByName(last)
+    after, before = ends.select(F.col("src").alias("id"), F.lit(True).alias("goes")), ends.select(F.col("dst").alias("id"), F.lit(True).alias("comes"))
+    place = F.when(F.col("goes") & F.col("comes"), "inner").when(F.col("goes"), "first").when(F.col("comes"), "last").otherwise("only")
+    marked = turns.join(after, "id", "left").join(before, "id", "left").withColumn("role", place).drop("goes", "comes")
     e = Engine(replace(g, nodes=g.nodes | {"Turn": marked}))
-    found = e.nested('{ Turn { conv turn next *path -> Turn(role = "last") { turn } } }').join(first, "conv").filter("turn = from_turn")
+    # only first turns start, as a route from every turn costs the square of a conversation
+    found = e.nested('{ Turn(role = "first" || role = "only") { conv next *path -> Turn(role = "last" || role = "only") { turn } } }').filter("next is not null")
     return found.select("conv", F.col("next.hops").alias("hops"), F.array_join(F.transform("next.nodes", lambda x: x["turn"].cast("string")), " ").alias("nodes"), F.size("next.edges").cast("long").alias("edges"))
 
 
