@@ -119,3 +119,10 @@ def test_work_is_counted_and_bounded(spark):
     for text in (hops, path % "", "{ Stop(has road within 4 hops(n = 5)) { n } }"):
         with pytest.raises(QueryError, match="reads more than"):
             Engine(g, budget=3).run(text)
+
+
+def test_routes_broadcast_no_tables(spark):
+    adj = spark.createDataFrame([(i, i + 1, i) for i in range(6)], "src long, dst long, rel_id long")
+    found = paths.routes(spark.createDataFrame([(0,)], "id long"), adj, spark.createDataFrame([(5,)], "id long"))
+    assert found.first().hops == 5
+    assert "Broadcast" not in found._jdf.queryExecution().toString()

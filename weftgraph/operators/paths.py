@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import merged, staged
 from .walks import Work
 
 MARGIN = 0.99  # an edge may be this much shorter than its straight line
@@ -64,7 +64,7 @@ def routes(starts: DataFrame, adjacency: DataFrame, goals: DataFrame, weight: st
     if points is not None:
         a = points.select(F.col("id").alias("src"), F.struct("lat", "lon").alias("pa"))
         b = points.select(F.col("id").alias("dst"), F.struct("lat", "lon").alias("pb"))
-        edges = edges.join(a, "src", "left").join(b, "dst", "left")
+        edges = edges.join(merged(a), "src", "left").join(merged(b), "dst", "left")
         edges = edges.withColumn("line", geo.haversine(F.col("pa.lat"), F.col("pa.lon"), F.col("pb.lat"), F.col("pb.lon"))).withColumn("ahead", _ahead(goals, points))
     edges = _weight(edges, weight, kind, unit_metres if points is not None else None)
     if weight is not None or points is not None:
@@ -77,20 +77,20 @@ def routes(starts: DataFrame, adjacency: DataFrame, goals: DataFrame, weight: st
     frontier, rounds = layers[0], 0
     while True:
         best = _least(layers)
-        known = best.join(goals, "node").groupBy("start").agg(F.min("cost").alias("most"))
-        step = frontier.join(known, "start", "left").filter(F.col("most").isNull() | (F.col("cost") <= F.col("most")))
+        known = best.join(merged(goals), "node").groupBy("start").agg(F.min("cost").alias("most"))
+        step = frontier.join(merged(known), "start", "left").filter(F.col("most").isNull() | (F.col("cost") <= F.col("most")))
         if weight is None:  # a level at a time: whoever has a goal is done
             step = step.filter(F.col("most").isNull())
         if work:
             work.level(step, edges)
-        step = step.join(edges, step["node"] == edges["src"]).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("new"), F.col("cost").alias("pcost"), F.when(F.col("w") > 0, 0).otherwise(F.col("layer") + 1).alias("layer"), F.col("src").alias("pred"), F.col("rel_id").alias("rel"), "most", "ahead")
+        step = step.join(merged(edges), step["node"] == edges["src"]).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("new"), F.col("cost").alias("pcost"), F.when(F.col("w") > 0, 0).otherwise(F.col("layer") + 1).alias("layer"), F.col("src").alias("pred"), F.col("rel_id").alias("rel"), "most", "ahead")
         total = F.col("new") + F.col("ahead")
         step = step.filter(F.col("node") != F.col("start")).filter(F.col("most").isNull() | (total <= F.col("most")))
         if bound:
             step = step.filter(F.col("new") < bound[1] if bound[0] == "<" else F.col("new") <= bound[1]).filter(total <= bound[1])
         offer = step.groupBy("start", "node").agg(F.min(F.struct(F.col("new").alias("cost"), "pcost", "layer", "pred", "rel")).alias("o"))
         old = best.select("start", "node", F.struct("cost", "pcost", "layer", "pred", "rel").alias("b"))
-        met = offer.join(old, ["start", "node"], "left").filter(F.col("b").isNull() | (F.col("o") < F.col("b")))
+        met = offer.join(merged(old), ["start", "node"], "left").filter(F.col("b").isNull() | (F.col("o") < F.col("b")))
         moved = F.col("b").isNull() | (F.col("o.cost") < F.col("b.cost")) | (F.col("o.layer") != F.col("b.layer"))
         better = staged(met.select("start", "node", "o.*", moved.alias("moved")), "better")
         if better.isEmpty():
@@ -117,12 +117,12 @@ def _least(layers: list[DataFrame]) -> DataFrame:
 def _traced(best: DataFrame, goals: DataFrame, rounds: int) -> DataFrame:
     """Routes read back from their goals, one edge for all starts at a time; none has more edges than there were rounds."""
     best = staged(best, "best")
-    end = best.join(goals, "node").groupBy("start").agg(F.min(F.struct("cost", (F.col("node") != F.col("start")).alias("away"), "node")).alias("g"))
+    end = best.join(merged(goals), "node").groupBy("start").agg(F.min(F.struct("cost", (F.col("node") != F.col("start")).alias("away"), "node")).alias("g"))
     cursor = end.select("start", F.col("g.node").alias("goal"), F.col("g.cost").alias("cost"), F.col("g.node").alias("node"), F.array("g.node").alias("nodes"), F.array().cast("array<bigint>").alias("rels"))
     back = best.filter("node <> start").select("start", "node", "pred", "rel")
     for i in range(rounds):
         onward = F.col("pred").isNotNull()  # what has come to its start stays as it is
-        cursor = cursor.join(back, ["start", "node"], "left").select("start", "goal", "cost", F.coalesce("pred", "node").alias("node"), F.when(onward, F.concat(F.array("pred"), "nodes")).otherwise(F.col("nodes")).alias("nodes"), F.when(onward, F.concat(F.array("rel"), "rels")).otherwise(F.col("rels")).alias("rels"))
+        cursor = cursor.join(merged(back), ["start", "node"], "left").select("start", "goal", "cost", F.coalesce("pred", "node").alias("node"), F.when(onward, F.concat(F.array("pred"), "nodes")).otherwise(F.col("nodes")).alias("nodes"), F.when(onward, F.concat(F.array("rel"), "rels")).otherwise(F.col("rels")).alias("rels"))
         if i % 8 == 7:
             cursor = staged(cursor, "route")
             if cursor.filter("node <> start").isEmpty():

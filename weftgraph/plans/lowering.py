@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, vectors
 from ..operators import predicates, temporal, walks
 from ..operators.paths import routes
+from ..sources.staging import merged
 from ..sources.graph import Graph
 from . import periods
 from . import syntax as X
@@ -554,7 +555,7 @@ class Lowering:
         for t in s.types:
             if t not in types:
                 adj = adj.unionByName(self._bounded(self.graph.adjacency(t, w.field), t, self.schema.types[t].edges[w.field]))
-        adj = adj.join(self.graph.nodes_of(s.types).select(F.col("id").alias("dst")), "dst", "left_semi")
+        adj = adj.join(merged(self.graph.nodes_of(s.types).select(F.col("id").alias("dst"))), "dst", "left_semi")
         goals = self.keep(self.graph.nodes_of(s.types), s.types, s.condition).select("id")
         points, unit = None, None
         weight_field = edge.props.get(p.weight) if p.weight else None
@@ -570,7 +571,7 @@ class Lowering:
         steps = found.select("start", at.alias("pos", "x")).select("start", "pos", F.col("x.node").alias("id"), F.col("x.rel").alias("_rel"))
         props = adj.select(F.col("rel_id").alias("_rel"), "src", "dst", *[c for c in adj.columns if c.startswith("&")]).dropDuplicates(["_rel"])
         everyone = self.graph.nodes_of(tuple(dict.fromkeys((*types, *s.types))))
-        rows = steps.join(everyone, "id").join(props, "_rel", "left")
+        rows = steps.join(merged(everyone), "id").join(merged(props), "_rel", "left")
         rows = rows.withColumn("_key", F.concat_ws("/", "start", "pos")).withColumn("_hops", F.col("pos"))
         if self.trace is not None:
             self.note(rows, ["id", "_rel"])
@@ -581,8 +582,8 @@ class Lowering:
         one = F.struct(F.col("_rel").alias("id"), F.lit(edge.kind).alias("type"), a.alias("from"), b.alias("to"), held.alias("props"))
         listed = shown.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("out").alias("node"), F.when(F.col("pos") > 0, one).alias("edge")))).alias("x"))
         out = F.struct(cost.alias("cost"), F.transform(F.filter("x", lambda x: x.pos > 0), lambda x: x.edge).alias("edges"), F.col("hops"), F.transform("x", lambda x: x.node).alias("nodes"))
-        met = found.join(listed, "start").select("start", out.alias("out"))
-        return df.select(F.col("_key").alias("_parent"), F.col("id").alias("start")).join(met, "start").select("_parent", "out")
+        met = found.join(merged(listed), "start").select("start", out.alias("out"))
+        return df.select(F.col("_key").alias("_parent"), F.col("id").alias("start")).join(merged(met), "start").select("_parent", "out")
 
     # --- windows ----------------------------------------------------------
 

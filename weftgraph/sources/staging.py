@@ -33,6 +33,11 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by merging: loops that broadcast in each round send the driver a multiple of their tables."""
+    return df.hint("merge")
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; no more than that are counted."""
     return df.limit(rows + 1).count() <= rows
